@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at in one go.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +59,7 @@ def ascii_lower(col: Column) -> Column:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds at most ``limit`` bytes of text, or one row; nulls become empty texts."""
+    """Cuts batches so that each holds at most ``limit`` bytes of text (or one row) and SLICE_ROWS rows; nulls become empty texts."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         text = pc.fill_null(batch.column(at), "")
@@ -68,7 +68,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         start = 0
         while start < batch.num_rows:
             done = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, done + limit, side="right"))))
             yield batch.slice(start, end - start)
             start = end
 
@@ -83,3 +83,14 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     return rows.to_numpy(zero_copy_only=False).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
+    """text and label of at most ``rows`` labelled documents to learn from: those not held out, in the order of a hash.
+
+    The bound is what makes the broadcast safe: ``docs`` is not shuffled. Null labels don't count; a document with
+    several label rows is learnt from once for each.
+    """
+    chosen = labels.where((crc32_mod(F.col("doc_id"), 5) != 0) & F.col(column).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")

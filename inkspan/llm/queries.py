@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import curriculum, transport, url_filter
+from inkspan.llm import curriculum, quality, toxicity, transport, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, pages.join(labels, "page_id")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_media_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digests(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +42,8 @@ def op9_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity_noisy_channel": op4_toxicity_noisy_channel,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_media_transport_stream": op8_media_transport_stream,
     "op9_mix_curriculum": op9_mix_curriculum,
 }
