@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import curriculum, quality, toxicity, transport, url_filter
+from inkspan.llm import curriculum, ngram_join, quality, toxicity, transport, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes of pages are those labels.quality whose doc_id is the page's id."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
@@ -41,6 +45,7 @@ def op9_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity_noisy_channel": op4_toxicity_noisy_channel,
     "op5_quality_classifier": op5_quality_classifier,

@@ -41,7 +41,7 @@ HIDDEN = "­​‌‍⁠﻿"
 #: Costs (negative log probabilities) of channel steps: a symbol for a letter, one that hides a letter, a symbol that may
 #: stand for letters but stands for none, one that only separates, a letter drawn out. What is left out costs about as
 #: much as the language model would charge for a letter, so that paths of unequal length compare.
-SWAP, MASK, DROP, APART, DRAWN = 1.0, 2.0, 6.0, 0.2, 4.0
+SWAP, MASK, DROP, APART, DRAWN = 1.0, 2.0, 9.0, 0.2, 6.0
 
 
 def _folds() -> dict[int, str | None]:
