@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import curriculum, ngram_join, quality, toxicity, transport, url_filter
+from inkspan.llm import curriculum, embedding_join, ngram_join, quality, toxicity, transport, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.classes(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_media_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_digests(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity_noisy_channel": op4_toxicity_noisy_channel,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_media_transport_stream": op8_media_transport_stream,
     "op9_mix_curriculum": op9_mix_curriculum,
 }
