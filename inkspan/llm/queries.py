@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import curriculum, embedding_join, ngram_join, quality, toxicity, transport, url_filter
+from inkspan.llm import curriculum, embedding_join, ngram_join, packing, pieces, quality, toxicity, transport, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_pack_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(_read(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes of pages are those labels.quality whose doc_id is the page's id."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
@@ -48,13 +52,23 @@ def op9_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"target": F.round("target", 3), "position": F.round("position", 9)})
 
 
+#: A public SentencePiece model; any other can be given to the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_read(spark, sf_dir, "documents"), pieces.Model.load(PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_pack_token_ids": op2_pack_token_ids,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity_noisy_channel": op4_toxicity_noisy_channel,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_media_transport_stream": op8_media_transport_stream,
     "op9_mix_curriculum": op9_mix_curriculum,
+    "op10_sentencepiece_n_best": op10_sentencepiece_n_best,
 }
 ORACLES: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op9_mix_curriculum": curriculum.ORACLE}
