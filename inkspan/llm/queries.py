@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspan.llm import curriculum, embedding_join, ngram_join, packing, pieces, quality, toxicity, transport, url_filter
+from inkspan.llm import curriculum, embedding_join, licenses, ngram_join, packing, pieces, quality, toxicity, transport, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``; one that begins with a notice is the licence file of its directory."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    out = licenses.scan(docs.select(path.alias("path"), "text"), F.col("line") == 0)
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "licence", "origin", F.round("cosine", 6).alias("cosine"), "from_directory")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.classes(_read(spark, sf_dir, "embeddings"))
 
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_toxicity_noisy_channel": op4_toxicity_noisy_channel,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_license_scan": op6_license_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_media_transport_stream": op8_media_transport_stream,
     "op9_mix_curriculum": op9_mix_curriculum,
