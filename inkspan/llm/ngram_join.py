@@ -2,11 +2,14 @@
 
 The result is exact. Steps:
 
-1. Shingles become 64-bit hashes; a document is the sorted array of its distinct ones. Shingles that are frequent in
-   any large block of documents are noted (all documents are counted; the list's length is bounded).
-2. In one order of all shingles (frequent ones last, else by hash), two sets with a similarity of 0.8 share a member
-   among the first fifth of each. Documents that share such a member are chained to the group's first; components of
-   these chains are families outside which no link can lie. Rows are 24 bytes and grow with the documents: no pairs.
+1. Shingles become 64-bit hashes; a document is the sorted array of its distinct ones. All shingles of the corpus, as
+   packed runs of hashes dealt by value, show which stand in two documents or more: ``SHARED_BITS`` bits, whatever the
+   corpus, say "in one only" or "perhaps shared". A false "perhaps" costs time and nothing else.
+2. In one order of all shingles (those in one document first, else by hash), two sets with a similarity of 0.8 share a
+   member among the first fifth of each. A shingle of one document can't be it, so documents with a fifth of their own
+   drop out; the others give the shared members of their first fifth as keys. Documents that share a key are chained to
+   the key's first; components of these chains are families outside which no link can lie. Rows are 16 bytes and grow
+   with the documents: no pairs.
 3. Documents that belong to a family are read again and give their arrays, one for each distinct set. A small family is
    one tile. A large one is cut into size bands (a factor of 1.25, so that only neighbouring bands can link) and the
    bands into strips; each pair of strips is a tile. Tiles are bounded in documents and in shingles.
@@ -34,14 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import stage, text_slices, unstage, words_of
+from inkspan.llm.common import stage, text_slices, words_of
 from inkspan.llm.components import components
 
 WORDS = 5
 #: Links need NUMERATOR * overlap >= DENOMINATOR-th of the union: 100 * overlap >= 80 * union.
 PERCENT = 80
-#: Shingles of a block in which frequent ones are looked for; how frequent they are; most that are noted.
-BLOCK, FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 4_000_000, 0.001, 8, 1 << 17
+#: Shingles of a block that is sorted at once; bits that tell shared shingles; shingles that one task compares.
+BLOCK, SHARED_BITS, RANGE = 4_000_000, 1 << 27, 3_000_000
+_SHIFT = np.uint64(64 - SHARED_BITS.bit_length() + 1)
 #: Most sets and most shingles of a strip; bits of the filter.
 STRIP_SETS, STRIP_SHINGLES, FILTER_BITS = 2048, 4_000_000, 1 << 26
 
@@ -88,47 +92,83 @@ def fingerprint(members: np.ndarray) -> tuple[int, int]:
     return signed(h >> 64), signed(h & (1 << 64) - 1)
 
 
-def prefix(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first of a set in the order of all shingles, as many as any partner must share one of."""
+def keys_of(members: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The first of a set in the order of all shingles, as many as any partner must share one of; less those of its own."""
     n = len(members)
-    size = n - -(-PERCENT * n // 100) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        late = frequent[at] == members
-        if late[: size + int(late.sum())].any():
-            return np.concatenate((members[~late], members[late]))[:size]
-    return members[:size]
+    at = (members >> _SHIFT).astype(np.int64)
+    both = members[(shared[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    return both[: max(0, n - -(-PERCENT * n // 100) + 1 - (n - len(both)))]
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that stand in a notable share of some block of documents; at most FREQUENT_MOST, the most frequent."""
+def shared_shingles(docs: DataFrame) -> np.ndarray:
+    """SHARED_BITS bits: which shingles may stand in two sets; as bytes, collected by segments that don't overlap."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranges = max(1, min(1 << 16, -(-size // 6 // RANGE)))
+    width = -(-SHARED_BITS // ranges // 8) * 8
+    ranges = -(-SHARED_BITS // width)
+    borders = np.arange(1, ranges, dtype=np.uint64) * np.uint64(width) << _SHIFT
 
     def flush(block: list[np.ndarray]) -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(block), return_counts=True)
-        keep = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(block))
-        return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(counts[keep], pa.int64())], ["h", "n"])
+        once, more = found[counts == 1], found[counts > 1]
+        cut = lambda x: [r.tobytes() for r in np.split(x, np.searchsorted(x, borders))]
+        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(cut(once), pa.binary()), pa.array(cut(more), pa.binary())], ["range", "once", "more"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[np.ndarray] = []
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: dict[int, np.ndarray] = {}
         size = 0
         for batch in text_slices(batches):
             for members in shingle_sets(batch.column("text")):
-                block.append(members)
-                size += len(members)
-                if size >= BLOCK:
-                    yield flush(block)
-                    block, size = [], 0
+                if len(members) and (h := fingerprint(members)[0]) not in block:
+                    block[h] = members
+                    size += len(members)
+            if size >= BLOCK:
+                yield flush(list(block.values()))
+                block, size = {}, 0
         if block:
-            yield flush(block)
+            yield flush(list(block.values()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by range; held are the hashes of one, repeats being thrown out whenever what is held has doubled."""
+
+        def settle(once: list[np.ndarray], more: list[np.ndarray]) -> None:
+            found, counts = np.unique(np.concatenate(once), return_counts=True)
+            more[:] = [np.unique(np.concatenate([*more, found[counts > 1]]))]
+            once[:] = [found]
 
-    table = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = table.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().view(np.uint64))
+        def done(number: int, once: list[np.ndarray], more: list[np.ndarray]) -> pa.RecordBatch:
+            # A hash that is in "more" of one block and "once" of another is shared already.
+            settle(once, more)
+            bits = np.zeros(width, bool)
+            bits[(more[0] >> _SHIFT).astype(np.int64) - number * width] = True
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+
+        number, once, more, held, settled = None, [], [], 0, RANGE
+        for batch in batches:
+            for r, a, b in zip(*(batch.column(c) for c in ("range", "once", "more")), strict=True):
+                if r.as_py() != number:
+                    if number is not None:
+                        yield done(number, once, more)
+                    number, once, more, held, settled = r.as_py(), [], [], 0, RANGE
+                once.append(np.frombuffer(a.as_buffer(), np.uint64))
+                more.append(np.frombuffer(b.as_buffer(), np.uint64))
+                held += len(once[-1]) + len(more[-1])
+                if held > 2 * settled:
+                    settle(once, more)
+                    held = settled = len(once[0]) + len(more[0])
+        if number is not None:
+            yield done(number, once, more)
+
+    rows = docs.select("text").mapInArrow(runs, "range int, once binary, more binary").repartition(ranges, "range").sortWithinPartitions("range")
+    out = np.zeros(ranges * width // 8, np.uint8)
+    for number, bits in rows.mapInArrow(compare, "range int, bits binary").toLocalIterator():
+        out[number * width // 8 : (number + 1) * width // 8] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def families(docs: DataFrame) -> DataFrame:
     """(h1, family) for every set that may have a partner: components of shared prefix members."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -137,7 +177,7 @@ def families(docs: DataFrame) -> DataFrame:
                 if len(members):
                     h1 = fingerprint(members)[0]
                     if h1 not in seen:
-                        seen[h1] = prefix(members, frequent.value)
+                        seen[h1] = keys_of(members, shared.value)
             if seen:
                 sizes = np.fromiter(map(len, seen.values()), np.int64, len(seen))
                 key = np.concatenate(list(seen.values())).view(np.int64)
@@ -239,7 +279,7 @@ class Tile:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile; a tile's rows are held until the next begins."""
+    """Rows come sorted by tile and rep; a tile's sets are held until the next begins. Slices may have sent a set twice."""
     tile, held = None, Tile([], [], [])
     links: list[tuple[int, int]] = []
 
@@ -252,6 +292,8 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(held.ids) > 1:
                     links += held.forest()
                 tile, held = t, Tile([], [], [])
+            if held.ids and held.ids[-1] == i and held.sets[-1].tobytes() == m:
+                continue
             held.ids.append(i)
             held.sides.append(s)
             held.sets.append(np.frombuffer(m, np.uint64))
@@ -263,7 +305,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tiles(sets: DataFrame) -> DataFrame:
-    """Deals sets (rep, family, n, members) to tiles; a set of a large family goes to each tile that holds its strip."""
+    """Deals sets (h1, h2, rep, family, n) to tiles; a set of a large family goes to each tile that holds its strip."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
     sets = sets.withColumn("band", band)
     parts = F.ceil(F.greatest(F.count("*") / STRIP_SETS, F.sum("n") / STRIP_SHINGLES)).cast("int").alias("parts")
@@ -283,7 +325,7 @@ def tiles(sets: DataFrame) -> DataFrame:
     down = each(F.col("below"), lambda k: pair("up", b - 1, k, s, F.lit(1)))
     alone = F.array(F.struct(F.xxhash64("family").alias("tile"), F.lit(2).alias("side")))
     dealt = F.when(F.col("parts").isNull(), alone).otherwise(F.concat(within, up, down))
-    return out.select("rep", "members", F.inline(dealt).alias("tile", "side"))
+    return out.select("h1", "h2", "rep", F.inline(dealt).alias("tile", "side"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -292,13 +334,14 @@ def classes(docs: DataFrame) -> DataFrame:
     found = stage(sketches(docs, filter_of(family, "h1")), "sketches")
     reps = found.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = stage(reps, "reps")
-    sets = found.where("members is not null").select("h1", "h2", "n", "members").dropDuplicates(["h1", "h2"])
-    sets = stage(sets.join(family, "h1").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "family", "n", "members"), "sets")
+    # What is dealt out is planned on slim rows; arrays are joined last and move twice.
+    slim = stage(found.where("members is not null and doc_id is not null").select("h1", "h2", "n").distinct().join(family, "h1").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), "slim")
+    planned = stage(tiles(slim), "tiles")
     spark = docs.sparkSession
-    dealt = tiles(sets).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
-    roots = components(dealt.select("tile", "rep", "side", "members").mapInArrow(_forests, "a long, b long"))
+    dealt = found.where("members is not null").select("h1", "h2", "members").join(planned, ["h1", "h2"]).select("tile", "rep", "side", "members")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile", "rep")
+    roots = components(dealt.mapInArrow(_forests, "a long, b long"))
     merged = stage(reps.join(roots, reps["rep"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), "copies"), "merged")
-    unstage(sets)
     has = found.where("n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2").join(merged, ["h1", "h2"])
     has = has.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies")
     none = found.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
@@ -306,6 +349,22 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less those of documents whose class holds a smaller id; null ids stay."""
-    gone = classes(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` less those of documents whose class holds a smaller id; null ids stay.
+
+    Texts are not shuffled: a bitmap tells ids that stay for certain, and only rows of the others are joined.
+    """
+    gone = stage(classes(docs).where("doc_id > component_id").select("doc_id").distinct(), "gone")
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(gone, "doc_id"))
+
+    def rows(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(batch.schema.get_field_index("doc_id"))
+                known = ids.is_valid().to_numpy(zero_copy_only=False)
+                k = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = known & ((shared.value[(k >> 6) & (FILTER_BITS // 64 - 1)] >> (k & 63) & 1) > 0)
+                yield batch.filter(pa.array(found == hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return rows(False).unionByName(rows(True).join(gone, "doc_id", "left_anti").select(*docs.columns))
