@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkspan.functions.dialect import Duck, Spark
+from inkspan.operators import document
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def sql_over(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """Runs a statement in which tables of a folder stand as {name}: each becomes a view of that folder's file."""
+    for t in TABLES:
+        if f"{{{t}}}" in statement:
+            view = f"{t}_{zlib.crc32(sf_dir.encode()):08x}"
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+            statement = statement.replace(f"{{{t}}}", view)
+    return spark.sql(statement)
+
+
+def add_sql(name: str, make: Callable[[Spark], str]) -> None:
+    """A query that is one SQL statement, written once for both engines; tables stand in it by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sql_over(spark, sf_dir, make(Spark()))
+
+    QUERIES[name] = run
+    text = make(Duck())
+    for t in TABLES:
+        text = text.replace(f"{{{t}}}", t)
+    ORACLES[name] = text
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+
+
+for _name, (_id, _steps) in document.SIGNALS.items():
+    add_sql(f"{_id}_{_name}", lambda d, f=_steps: document.statement(d, f(d), {"score": "score"}, "{documents}"))
