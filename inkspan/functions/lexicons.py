@@ -337,3 +337,14 @@ readability:0 em_dash_overuse:0 passive_voice:0 mattr:0 sensory_checklist:0 ques
 oxford_comma_consistency:0 closing_summary:0.4 consensus_middle:0 compression_ratio_sentence:0
 compression_ratio_document:0 repetition_density:0 ngram_perplexity:0 ngram_burstiness:0 zipf_deviation_v2:0 mattr_v2:0
 ttr_variance:0 semantic_monotony:0.8 chunked_consistency:0.4 model_fingerprint:0.7"""))}
+
+# --- fixed values: stock phrases by category ---
+PHRASES = {
+    "vague_abstractions": "the intricacies of|the complexities of|the nuances of|the fabric of|the landscape of|the realm of|the tapestry of|the intersection of|the forefront of|the cornerstone of|the bedrock of|the linchpin of|the hallmark of|the crux of|the heart of the matter|a wide range of|a myriad of|a plethora of|a wealth of|a diverse range of|a broad spectrum of|a multitude of|a variety of factors|an array of|an integral part of".split("|"),
+    "false_depth": "it's worth noting that|it is worth noting that|it's important to note that|it is important to note that|it's important to understand that|it is important to understand that|it's essential to consider|it is essential to consider|it's crucial to understand|it is crucial to understand|this raises important questions about|this raises interesting questions about|the implications are far-reaching|the implications of this|given the fact that|due to the fact that|in light of the fact that|based on the information provided|there's no one-size-fits-all|there is no one-size-fits-all|the answer is nuanced|both sides have valid points|reasonable people can disagree|this is particularly true|this is especially true".split("|"),
+    "metaphor_cliches": "serves as a testament to|a testament to the|a testament to|stands as a beacon of|serves as a reminder|serves as a catalyst|serves as a foundation|a double-edged sword|the tip of the iceberg|paves the way for|paving the way for|bridges the gap between|bridging the gap between|strikes a balance between|striking a balance between|sheds light on|shedding light on|plays a crucial role|plays a vital role|plays a pivotal role|plays an important role|a key role in|a driving force behind|at the forefront of|at the heart of|on the cutting edge of|a game changer for|a stepping stone|a stark reminder".split("|"),
+    "corporate_action": "unlock the potential of|unlock the power of|unlock the secrets of|unleash the power of|harness the power of|embark on a journey|embarking on a journey|push the boundaries of|pushing the boundaries of|capitalize on the opportunities|navigate the complexities|navigating the complexities|navigate the challenges|lay the groundwork for|laying the groundwork for|foster a culture of|fostering a culture of|drive meaningful change|driving meaningful change|delve into the world of|delve into the intricacies|spearhead the initiative|take it to the next level|a gateway to|the key to success".split("|"),
+    "hedging_fillers": "one could argue that|one might argue that|it could be argued that|it depends on various factors|while there's no definitive answer|while there is no definitive answer|it goes without saying|it is important to understand|bearing in mind that|with that in mind|in light of this|in light of these|it's a complex issue|it is a complex issue|can potentially|might arguably|to some extent|in many ways|at the end of the day|when all is said and done|all things considered|to put it simply|simply put|in other words|that being said|having said that|with that said".split("|"),
+    "false_insider": "if you're like most|if you are like most|we've all been there|we have all been there|let's be honest|let us be honest|let's face it|let us face it|here's the thing|here is the thing|no one talks about this|nobody talks about this|you're not alone|you are not alone|whether you're a|whether you are a|here's what nobody tells you|here is what nobody tells you|i get it|i understand your frustration|i hear you|that's a great question|that is a great question|we all know|as we all understand|i hope this email finds you well|i wanted to reach out".split("|"),
+}
+ANY_PHRASE = r"(?i)\b(?:" + "|".join(sorted((p.replace("'", "['’]") for ps in PHRASES.values() for p in ps), key=lambda p: (-len(p), p))) + r")\b"

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 from inkspan.functions import lexicons as L
-from inkspan.functions.dialect import WORD, Spark, held, hits, ladder, mean, spread, sum_of
+from inkspan.functions.dialect import WORD, Spark, held, hits, ladder, mean, severe, spread, sum_of
 
 Steps = dict[str, str]
 SIGNALS: dict[str, tuple[str, Callable[[Spark], Steps]]] = {}
@@ -41,15 +41,30 @@ def base(d: Spark) -> Steps:
     }
 
 
-def layered(d: Spark, steps: Steps, table: str, columns: str, where: str = "true") -> str:
-    """CTEs z_0, z_1, ... each of which adds one step that some later step or the end may use; the last one's name is z_end.
+def levels(steps: Steps) -> list[Steps]:
+    """Steps grouped so that each uses only steps of groups before its own."""
+    depth: dict[str, int] = {}
+    for name, e in steps.items():
+        depth[name] = 1 + max((depth[w] for w in set(re.findall(r"\w+", e)) if w in depth), default=0)
+    return [{n: steps[n] for n in steps if depth[n] == k} for k in range(1, max(depth.values(), default=0) + 1)]
+
 
-    One select for each step: an engine that expands aliases in place would else multiply the work.
+def chained(steps: Steps, start: str, prefix: str) -> tuple[str, str]:
+    """CTEs that add the steps to a table, a group at a time, and the last one's name.
+
+    One select for each group: an engine that expands aliases in place would else multiply the work.
     """
-    out = [f"z_0 as (select {columns} from {table} where {where})"]
-    for k, (name, e) in enumerate(steps.items()):
-        out.append(f"z_{k + 1} as (select *, {e} as {name} from z_{k})")
-    return "with " + ", ".join(out) + f", z_end as (select * from z_{len(steps)})"
+    out, at = "", start
+    for k, group in enumerate(levels(steps)):
+        out += f", {prefix}{k} as (select *, {', '.join(f'{e} as {n}' for n, e in group.items())} from {at})"
+        at = f"{prefix}{k}"
+    return out, at
+
+
+def layered(d: Spark, steps: Steps, table: str, columns: str, where: str = "true") -> str:
+    """CTEs that add the steps to the rows of a table; the last one's name is z_end."""
+    chain, at = chained(steps, "z_rows0", "z_")
+    return f"with z_rows0 as (select {columns} from {table} where {where}){chain}, z_end as (select * from {at})"
 
 
 def needed(steps: Steps, wanted: str) -> Steps:
@@ -320,6 +335,13 @@ def consensus(d: Spark) -> Steps:
     return {"b": hits(d, "low", L.BALANCES), "o": hits(d, "low", L.OPINIONS), "score": ladder((f"n < {MIN_WORDS} or o > 0", 0), ("b >= 3", 35), ("b >= 2", 20), ("b >= 1 and n > 150", 10))}
 
 
+@signal("h32", "ai_phrases")
+def stock_phrases(d: Spark) -> Steps:
+    density = "k / cast(nullif(n, 0) as double) * 100"
+    raised = f"least(90, least(90, 20 * k) + case when {density} > 2 then 15 when {density} > 1 then 8 else 0 end)"
+    return {"k": d.count("text", L.ANY_PHRASE), "score": f"cast(case when n < {MIN_WORDS} then 0 else {d.half_even(raised + ' * ' + severe('k'), 1)} end as double)"}
+
+
 @signal("h33", "rhetorical_question_chain")
 def questions(d: Spark) -> Steps:
     return runs(d, d.map("s5", "z_s", d.ends(d.strip("z_s"), "?")), "n5") | {"score": "cast(case when longest >= 2 then least(75, 25 * (longest - 1)) else 0 end as double)"}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.functions.dialect import Duck, Spark
-from inkspan.operators import document
+from inkspan.operators import document, sentence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,8 +39,16 @@ def add_sql(name: str, make: Callable[[Spark], str]) -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The whole score of every document, counted by class and genre."""
+    return QUERIES["analyze"](spark, sf_dir).groupBy("category", "genre").count()
 
 
 for _name, (_id, _steps) in document.SIGNALS.items():
     add_sql(f"{_id}_{_name}", lambda d, f=_steps: document.statement(d, f(d), {"score": "score"}, "{documents}"))
+
+_SENTENCE = ["d1_buzzwords", "d2_uniform", "d3_hedges", "d4_transitions", "d5_structure", "d6_dual_adjectives", "d7_trailing", "d8_declarations", "d9_dichotomies", "d10_expositions", "d11_phrases", "d12_fingerprint", "d13_sentence"]
+for _name in _SENTENCE:
+    add_sql(_name, lambda d, n=_name: sentence.statement(d, [n]) + f" select doc_id, cast(place as bigint) as place, cast({n} as double) as score from z_scored")
+add_sql("c2_weighted_overall", lambda d: sentence.units(d, "{documents}", "doc_id") + " select doc_id, round(overall, 6) as overall, cast(sentences as bigint) as sentences from z_units")
+add_sql("c6_genre", lambda d: document.statement(d, document.genre_steps(d), {"genre": "genre", "best": "round(cast(g_best as double), 6)"}, "{documents}"))
+add_sql("analyze", sentence.analysis)
