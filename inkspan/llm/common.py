@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker looks at in one go.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 2000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 600
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,13 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker which lives on doesn't keep its peak."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds at most ``limit`` bytes of text (or one row) and SLICE_ROWS rows; nulls become empty texts."""
     for batch in batches:
@@ -71,6 +80,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, done + limit, side="right"))))
             yield batch.slice(start, end - start)
             start = end
+        give_back()
 
 
 def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:

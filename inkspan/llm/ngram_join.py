@@ -44,7 +44,7 @@ WORDS = 5
 #: Links need NUMERATOR * overlap >= DENOMINATOR-th of the union: 100 * overlap >= 80 * union.
 PERCENT = 80
 #: Shingles of a block that is sorted at once; bits that tell shared shingles; shingles that one task compares.
-BLOCK, SHARED_BITS, RANGE = 4_000_000, 1 << 27, 3_000_000
+BLOCK, SHARED_BITS, RANGE = 1_500_000, 1 << 27, 2_000_000
 _SHIFT = np.uint64(64 - SHARED_BITS.bit_length() + 1)
 #: Most sets and most shingles of a strip; bits of the filter.
 STRIP_SETS, STRIP_SHINGLES, FILTER_BITS = 2048, 4_000_000, 1 << 26

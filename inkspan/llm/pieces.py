@@ -4,10 +4,10 @@ Pieces of a public model form a lattice over a text: an edge for every piece tha
 gives the best score from the start to every place; these scores are exact heuristics for a backward A-star search, which
 therefore finds the n best segmentations in order without a detour.
 
-No piece reaches over the border before a space mark, nor over a character that no piece holds, so a text's lattice
-falls into units (about words) whose best paths can be put together: the n best of the text differ from its best in at
-most n - 1 units, which are among the n - 1 units with the smallest gap between their best and second best path. Viterbi
-runs once for each distinct unit, A-star for those few.
+No piece reaches over the border before a space mark, nor (in most models) from letters to other characters, so a text's
+lattice falls into units (about words) whose best paths can be put together: the n best of the text differ from its best
+in at most n - 1 units, which are among the n - 1 units with the smallest gap between their best and second best path.
+Viterbi runs once for each distinct unit that a worker meets, A-star for those few.
 
 Piece scores: the model's own ranks r stand for a Zipf distribution, log p = -log(r + SHIFT) - log(sum). Characters
 without a piece become their UTF-8 bytes' pieces at BYTE_PENALTY below the rarest piece. Encoding is lossless: white
@@ -26,7 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,22 @@ from inkspan.llm.common import text_slices
 MARK, OWN_MARK = "▁", "\ud800"
 SHIFT, BYTE_PENALTY = 2.7, 10.0
 #: Segmentations for each text; units whose paths a worker keeps.
-BEST, MOST_KEPT = 4, 200_000
-UNITS = re.compile(f"{MARK}+[^{MARK}\\n\\t\\r]*|[^{MARK}\\n\\t\\r]+|[\\n\\t\\r]")
+BEST, MOST_KEPT = 4, 250_000
+
+
+def unit_pattern(pairs: set[str]) -> str:
+    """A pattern for units no piece of which reaches into another, given all pairs of neighbours within pieces.
+
+    Where letters and other characters never stand together in a piece (but for a few odd characters, which then don't
+    count as letters), runs of letters are units of their own: these recur far more often than words with their marks.
+    """
+    is_letter = re.compile(r"[^\W\d_]").match
+    mixed = [p for p in pairs if p[0] != MARK and bool(is_letter(p[0])) != bool(is_letter(p[1]))]
+    odd = "".join(sorted({c for p in mixed for c in p if is_letter(c) and not c.isalpha()}))
+    if any(not any(c in odd for c in p) for p in mixed):
+        return f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+    letter = f"[^\\W\\d_{re.escape(odd)}]"
+    return f"{MARK}*(?:{letter}+|(?:(?!{letter})[^{MARK}])+)|{MARK}+"
 
 
 @dataclass
@@ -51,9 +65,20 @@ class Model:
     bytes_of: list[bytes]
     byte_ids: list[int]
     longest: int = field(init=False)
+    #: Every beginning of a piece, with the piece's log probability or 0; the pattern of units; paths that this process
+    #: has found.
+    begun: dict[str, float] = field(init=False)
+    rare: float = field(init=False)
+    units: re.Pattern = field(init=False)
+    known: dict = field(default_factory=dict, init=False)
+    older: dict = field(default_factory=dict, init=False)
+    more: dict = field(default_factory=dict, init=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids))
+        self.begun = {p[:k]: 0.0 for p in self.ids for k in range(1, len(p))} | {p: self.logp[k] for p, k in self.ids.items()}
+        self.rare = max(self.logp[k] for k in self.byte_ids)
+        self.units = re.compile(unit_pattern({p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}))
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -102,28 +127,49 @@ class Model:
 
     def viterbi(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         """Score and ids of the best path, and the gap to the second best (infinite without one)."""
-        edges = self.edges(unit)
-        best, second, back = [0.0], [-np.inf], [None]
-        for j in range(1, len(unit) + 1):
-            one = two = -np.inf
-            by = None
-            for e in edges[j]:
-                s = best[e[0]] + e[1]
-                if s > one:
-                    one, two, by = s, one, e
-                elif s > two:
-                    two = s
-                s = second[e[0]] + e[1]
-                if s > two:
-                    two = s
-            best.append(one)
-            second.append(two)
-            back.append(by)
-        j, out = len(unit), []
+        n, get, longest = len(unit), self.begun.get, self.longest
+        best, second, back = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            one, two, j = best[i], second[i], i
+            end = n if n - i <= longest else i + longest
+            while j < end:
+                j += 1
+                w = get(unit[i:j])
+                if not w and j == i + 1:
+                    w = self._bytes(unit[i])[0]
+                    s = one + w
+                elif w is None:
+                    break
+                elif not w:
+                    continue
+                else:
+                    s = one + w
+                b = best[j]
+                if s > b:
+                    best[j], back[j] = s, i
+                    second[j] = b if b > two + w else two + w
+                elif s > second[j]:
+                    second[j] = s
+                if w <= self.rare:
+                    if get(unit[i:j]) is None:
+                        break
+        ids, get, j = [], self.ids.get, n
         while j:
-            out.append(back[j][2])
-            j = back[j][0]
-        return best[-1], tuple(i for e in reversed(out) for i in e), best[-1] - second[-1]
+            i = back[j]
+            k = get(unit[i:j])
+            if k is None:
+                ids += reversed(self._bytes(unit[i])[1])
+            else:
+                ids.append(k)
+            j = i
+        ids.reverse()
+        return best[n], tuple(ids), best[n] - second[n]
+
+    def _bytes(self, c: str) -> tuple[float, list[int]]:
+        """Score and ids of a character by its bytes."""
+        ids = [self.byte_ids[b] for b in (MARK if c == OWN_MARK else c).encode()]
+        return sum(self.logp[k] for k in ids), ids
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best paths in order: A-star from the end, forward Viterbi scores being the rest's exact scores."""
@@ -152,12 +198,12 @@ class Model:
         return b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])[1:].decode(errors="replace")
 
 
-def units_of(text: str) -> list[str]:
+def units_of(text: str, units: re.Pattern) -> list[str]:
     if not text:
         return []
     if MARK in text:
         text = text.replace(MARK, OWN_MARK)
-    return UNITS.findall(MARK + text.replace(" ", MARK))
+    return units.findall(MARK + text.replace(" ", MARK))
 
 
 class Encoder:
@@ -165,35 +211,39 @@ class Encoder:
 
     def __init__(self, model: Model, n: int = BEST) -> None:
         self.model, self.n = model, n
-        self.known: dict[str, tuple[float, tuple[int, ...], float]] = {}
-        self.more: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def paths(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        found = self.more.get(unit)
+        more = self.model.more
+        found = more.get((unit, self.n))
+        if found is None:
+            if len(more) >= MOST_KEPT // 8:
+                more.clear()
+            found = more[unit, self.n] = self.model.n_best(unit, self.n)
+        return found
+
+    def path(self, unit: str) -> tuple[float, tuple[int, ...], float]:
+        """Paths of units met lately are kept in two generations, so that common units outlive rare ones."""
+        known, older = self.model.known, self.model.older
+        found = known.get(unit)
         if found is None:
-            if len(self.more) >= MOST_KEPT // 8:
-                self.more.clear()
-            found = self.more[unit] = self.model.n_best(unit, self.n)
+            found = older.pop(unit, None) or self.model.viterbi(unit)
+            if len(known) >= MOST_KEPT // 2:
+                older.clear()
+                older.update(known)
+                known.clear()
+            known[unit] = found
         return found
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]]:
         """For each text: ids of the best path; the n best as (score, unit's place -> ids where it differs); the units."""
         index: dict[str, int] = {}
-        split = [units_of(t) for t in texts]
+        split = [units_of(t, self.model.units) for t in texts]
         at = [np.array([index.setdefault(u, len(index)) for u in units], np.int64) for units in split]
-        if len(self.known) + len(index) > MOST_KEPT:
-            self.known.clear()
-        known, viterbi = self.known, self.model.viterbi
-        paths = []
-        for u in index:
-            p = known.get(u)
-            if p is None:
-                p = known[u] = viterbi(u)
-            paths.append(p)
+        paths = [self.path(u) for u in index]
         score = np.array([p[0] for p in paths])
         gap = np.array([p[2] for p in paths])
-        sizes = np.fromiter((len(p[1]) for p in paths), np.int64, len(paths))
-        flat = np.fromiter((i for p in paths for i in p[1]), np.int32, int(sizes.sum()))
+        sizes = np.array([len(p[1]) for p in paths], np.int64)
+        flat = np.fromiter(chain.from_iterable([p[1] for p in paths]), np.int32, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
         for units, k in zip(split, at, strict=True):
             if not units:
@@ -215,7 +265,7 @@ class Encoder:
         return [(best - loss, swaps) for loss, swaps in found]
 
     def ids_of(self, units: list[str], swaps: dict[int, tuple[int, ...]]) -> list[int]:
-        return [i for p, u in enumerate(units) for i in (swaps[p] if p in swaps else self.known[u][1] if u in self.known else self.model.viterbi(u)[1])]
+        return [i for p, u in enumerate(units) for i in (swaps[p] if p in swaps else self.path(u)[1])]
 
 
 def encode(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
