@@ -114,7 +114,8 @@ class Spark:
         return f"bround({x}, {digits})"
 
     def explode(self, table: str, columns: str, a: str, value: str, place: str) -> str:
-        return f"select {columns}, z_p + 1 as {place}, z_v as {value} from {table} lateral view posexplode({a}) z as z_p, z_v"
+        # "outer": else a filter on the array's size is pushed down, and with it copies of all that the array is made of
+        return f"select {columns}, z_place + 1 as {place}, z_member as {value} from {table} lateral view outer posexplode({a}) z as z_place, z_member where z_place is not null"
 
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)"

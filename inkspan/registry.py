@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.functions.dialect import Duck, Spark
-from inkspan.operators import document, sentence
+from inkspan.operators import corpus, document, profile, sentence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,12 @@ for _name in _SENTENCE:
 add_sql("c2_weighted_overall", lambda d: sentence.units(d, "{documents}", "doc_id") + " select doc_id, round(overall, 6) as overall, cast(sentences as bigint) as sentences from z_units")
 add_sql("c6_genre", lambda d: document.statement(d, document.genre_steps(d), {"genre": "genre", "best": "round(cast(g_best as double), 6)"}, "{documents}"))
 add_sql("analyze", sentence.analysis)
+
+for _name, _make in {
+    "v01_profile_elements": profile.element_query, "a01_stack_resolution": profile.stacked, "a02_corpus_average": profile.averaged, "a03_convergence": profile.convergence, "a05_completeness": profile.completeness,
+    "a06_starter_milestone": profile.milestone, "f03_fidelity": profile.fidelity, "f04_lowest_gaps": profile.gaps, "p08_profile_similarity": profile.similarity, "w01_weight_to_english": profile.english,
+}.items():
+    add_sql(_name, _make)
+
+for _name, _make in corpus.QUERIES.items():
+    add_sql(_name, _make)
