@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.functions.dialect import Duck, Spark
-from inkspan.operators import corpus, document, profile, sentence
+from inkspan.operators import corpus, document, profile, sentence, udfs
+from inkspan.sources import readers
+from inkspan.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +63,25 @@ for _name, _make in {
 
 for _name, _make in corpus.QUERIES.items():
     add_sql(_name, _make)
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _text_score(udf) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", udf("text").alias("score"))
+
+
+QUERIES |= {
+    "h06_compression_ratio": _text_score(udfs.compression_udf),
+    "h35_hollow_informality": _text_score(udfs.hollow_udf),
+    "l02_compression_document": _text_score(udfs.joint_compression_udf),
+    "l01_compression_sentence": lambda s, d: sql_over(s, d, sentence.rows(Spark(), "{documents}") + " select doc_id, cast(place as bigint) as place, sentence from z_rows").select("doc_id", "place", udfs.sentence_compression_udf("sentence").alias("score")),
+    "i09_page_text": lambda s, d: _docs(s, d, "pages").select("page_id", udfs.page_text_udf("html").alias("text")),
+    "t10_sections": lambda s, d: readers.sections(_docs(s, d)),
+    "p02_near_duplicates": lambda s, d: udfs.near_duplicates(_docs(s, d)),
+    "p05_clusters": lambda s, d: udfs.clusters(_docs(s, d, "conversations").where("role = 'system'").selectExpr("role as owner", "conv_id * 1000 + turn as seq", "text as prompt")),
+    "st01_windowed_events": lambda s, d: stateful.windowed(_docs(s, d, "events")),
+}
+ORACLES["st01_windowed_events"] = "select date_trunc('day', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all"
