@@ -180,7 +180,8 @@ def _tokens(batch: pa.RecordBatch, lm: np.ndarray, weights: dict[int, float] | N
 
 def _evidence(batch: pa.RecordBatch, lm: np.ndarray, weights: dict[int, float]) -> np.ndarray:
     rows, codes = _tokens(batch, lm, weights)
-    return np.bincount(rows, np.fromiter((weights[c] for c in codes.tolist()), float, len(codes)), minlength=batch.num_rows)
+    # bincount of nothing gives integers
+    return np.bincount(rows, np.fromiter((weights[c] for c in codes.tolist()), float, len(codes)), minlength=batch.num_rows).astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
