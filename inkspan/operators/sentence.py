@@ -46,7 +46,9 @@ def scores(d: Spark) -> Steps:
     steps["d12_fingerprint"] = "cast(15 * (" + " + ".join(f"z_12_{m}" for m in L.SIGNATURE_PHRASES) + ") as double)"
     names = [n for n in steps if n.startswith("d")]
     steps["z_hits"] = "(" + " + ".join(f"case when {n} > 0 then 1 else 0 end" for n in names) + ")"
-    steps["d13_sentence"] = f"coalesce(cast({d.half_even('least(100, (' + ' + '.join(names) + ') / nullif(cast(z_hits as double), 0) + least(30, 5 * z_hits))', 1)} as double), 0)"
+    # least() passes over nulls, so a sentence without hits is told apart first.
+    blend = d.half_even("least(100, (" + " + ".join(names) + ") / cast(greatest(z_hits, 1) as double) + least(30, 5 * z_hits))", 1)
+    steps["d13_sentence"] = f"cast(case when z_hits = 0 then 0 else {blend} end as double)"
     return steps
 
 
@@ -88,7 +90,7 @@ def combined(d: Spark, signals: dict[str, str]) -> str:
     bonus = f"least(15, 3 * greatest(0, {add(lambda n: '1', some)} - 2))"
     count = f"({add(lambda n: '1', strong)})"
     extra = f"case when {count} >= 3 and ({add(lambda n: on[n], strong)}) / cast({count} as double) > 30 then 5 else 0 end"
-    return f"coalesce(least(100, {base} + {bonus} + {extra}), 0)"
+    return f"least(100, coalesce({base}, 0) + {bonus} + {extra})"
 
 
 def composite(s: str, p: str, t: str, ns: str, np: str, nt: str) -> Steps:

@@ -63,7 +63,7 @@ def sections(docs: DataFrame) -> DataFrame:
     parts = F.filter(F.split("text", "\n\\s*\n"), lambda p: F.trim(p) != "")
     by_blank = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("Section "), (i + 1).cast("string")).alias("heading"), p.alias("text")))
     has = F.exists(marked, lambda x: x["heading"] != "")
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.when(has, by_heading).otherwise(by_blank)).alias("section_order", "s")).select("doc_id", "section_order", "s.heading", F.trim("s.text").alias("text"))
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.when(has, by_heading).otherwise(by_blank)).alias("section_order", "s")).select("doc_id", "section_order", "s.heading", F.regexp_replace("s.text", "^\\s+|\\s+$", "").alias("text"))
 
 
 def parse_version(v: str) -> tuple[int, ...]:
