@@ -110,6 +110,14 @@ class Spark:
     def sub(self, x: str, start: str, n: str) -> str:
         return f"substring({x}, cast({start} as int), cast({n} as int))"
 
+    def chars(self, x: str) -> str:
+        """Characters of a text, so that taking the k-th doesn't walk over the text."""
+        return f"split({x}, '')"
+
+    def run_of(self, x: str, chars: str, i: str, n: int) -> str:
+        """n characters from the i-th."""
+        return self.join(self.slice(chars, i, str(n)), "")
+
     def half_even(self, x: str, digits: int) -> str:
         return f"bround({x}, {digits})"
 
@@ -212,6 +220,12 @@ class Duck(Spark):
     def sub(self, x: str, start: str, n: str) -> str:
         return f"substr({x}, ({start})::BIGINT, ({n})::BIGINT)"
 
+    def chars(self, x: str) -> str:
+        return f"string_split({x}, '')"
+
+    def run_of(self, x: str, chars: str, i: str, n: int) -> str:
+        return self.sub(x, i, str(n))
+
     def half_even(self, x: str, digits: int) -> str:
         return f"round_even({x}, {digits})"
 

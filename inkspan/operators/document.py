@@ -166,7 +166,7 @@ def word_lengths(d: Spark) -> Steps:
 
 @signal("h09", "char_ngram_profile")
 def char_trigrams(d: Spark) -> Steps:
-    steps = {"z_clean": d.replace("low", "[^a-z ]", ""), "z_n": f"greatest({d.length('z_clean')} - 2, 0)", "z_tri": d.map(d.seq("z_n"), "z_i", d.sub("z_clean", "z_i", "3"))}
+    steps = {"z_clean": d.replace("low", "[^a-z ]", ""), "z_chars": d.chars("z_clean"), "z_n": f"greatest({d.size('z_chars')} - 2, 0)", "z_tri": d.map(d.seq("z_n"), "z_i", d.run_of("z_clean", "z_chars", "z_i", 3))}
     steps |= word_counts(d, "z_tri", "z_n")
     entropy = f"log2(nullif(z_n, 0)) - {d.total(d.map('c', 'z_c', 'z_c * log2(z_c)'))} / nullif(z_n, 0)"
     return steps | {"entropy": f"({entropy}) / case when z_types > 1 then log2(greatest(z_types, 2)) else 1 end", "score": ladder(("z_n < 98", 0), ("entropy < 0.85", 25), ("entropy < 0.9", 10))}
@@ -242,10 +242,14 @@ def punctuation(d: Spark) -> Steps:
 
 
 def runs(d: Spark, flags: str, n: str) -> Steps:
-    """z_stops: places where a flag is false, with both ends; the longest run of true ones is the largest gap less one."""
+    """z_stops: places where a flag is false, with both ends; the longest run of true ones is the largest gap less one.
+
+    An array that is only used inside a lambda would be put there by the optimiser and made again for every member; its
+    size is asked for outside, so that it stays a column.
+    """
     return {
         "z_flags": flags,
-        "z_stops": d.concat(d.map(d.seq("1"), "z_i", "cast(0 as bigint)"), d.concat(d.filter(d.seq(n), "z_i", f"not {d.at('z_flags', 'z_i')}"), d.map(d.seq("1"), "z_i", f"{n} + 1"))),
+        "z_stops": d.concat(d.map(d.seq("1"), "z_i", "cast(0 as bigint)"), d.concat(d.filter(d.seq(d.size("z_flags")), "z_i", f"not {d.at('z_flags', 'z_i')}"), d.map(d.seq("1"), "z_i", f"{n} + 1"))),
         "longest": f"coalesce({d.most(d.map(d.seq(d.size('z_stops') + ' - 1'), 'z_i', d.at('z_stops', 'z_i + 1') + ' - ' + d.at('z_stops', 'z_i') + ' - 1'))}, 0)",
     }
 
