@@ -338,6 +338,14 @@ def e06(d: Spark) -> str:
     return scored(d) + " select round(avg(case when label = 0 then score end) - avg(case when label = 1 then score end), 6) as separation, round(avg(case when label = 1 then (score - 10) * (score - 10) else (score - 80) * (score - 80) end), 6) as loss from z_x"
 
 
+def c12(d: Spark) -> str:
+    """Blends of a heuristic score with an outside one (here from the labels) and a classifier's (here missing for
+    even ids), and the gauge's bands."""
+    outside, third = "100.0 * (1 - label)", "case when doc_id % 2 = 1 then 50.0 end"
+    blend = f"case when {third} is null then 0.6 * {outside} + 0.4 * score else 0.35 * {outside} + 0.35 * score + 0.30 * {third} end"
+    return scored(d) + f", z_b as (select doc_id, cast({d.half_even(f'cast({blend} as double)', 1)} as double) as blended from z_x) select doc_id, blended, case when blended <= 20 then 'clean' when blended >= 40 then 'written' else 'touched' end as band from z_b"
+
+
 def e12(d: Spark) -> str:
     """A stratified subset by a seeded hash: a sample is the feature here."""
     return "select doc_id, quality from (select doc_id, quality, row_number() over (partition by quality order by md5(cast(doc_id + 42 as varchar(20))), doc_id) as place from {labels}) x where place <= 20"
@@ -379,6 +387,6 @@ QUERIES = {
     "s21_same_name": s21, "s22_optional_predicates": s22, "s23_parent_children": s23, "s26_snapshots": s26, "s27_history": s27, "s28_corpus_info": s28,
     "t01_token_and_sentence_counts": t_counts, "t05_sentences": t05, "t11_chunks": t11, "t13_syllables": t13, "t15_clean": t15, "t16_content_hash": t16, "t19_ngrams": t19,
     "l03_repetition_density": l03, "l05_ngram_perplexity": l05, "l06_ngram_burstiness": l06, "l07_zipf_v2": l07, "l08_mattr_v2": l08, "l09_ttr_variance": l09, "l10_trigram_model": l10, "l11_genre_baselines": l11, "h42_semantic_monotony": h42,
-    "n02_cosine": n02, "n04_divergence": n04, "p01_exact_groups": p01, "p03_ngram_overlap": p03, "e01_label_summary": e01, "e02_discrimination": e02, "e03_threshold_sweep": e03, "e06_separation": e06, "e12_stratified_subset": e12,
+    "n02_cosine": n02, "n04_divergence": n04, "p01_exact_groups": p01, "p03_ngram_overlap": p03, "c12_source_blending": c12, "e01_label_summary": e01, "e02_discrimination": e02, "e03_threshold_sweep": e03, "e06_separation": e06, "e12_stratified_subset": e12,
     "r01_rewrite": r01, "v02_compliance": v01, "k01_consolidate": k01, "k02_consensus": k02,
 }
