@@ -1,81 +1,158 @@
 """License scans [DataFrame functions only].
 
-Lines that speak of a licence are cut from every whole text, turned into sparse TF-IDF vectors over the words of the
-templates, and compared by cosine with each template. A file takes the licence of its best line that reaches
-``LEAST``. A file that says nothing takes that of the nearest directory above it which has a licence file: paths are
-joined by directory, one row for each directory and ancestor, and the deepest ancestor wins.
-
-Document frequencies of template words are counted over all licence lines of the corpus. Template weights are literals
-(bounded by the templates); whatever grows is joined by key, on staged tables, so that Spark can split a hot directory.
-
-Null texts and texts without such lines declare nothing; a null path is in no directory. Of several licences in one
+A text is compared in units: each of its lines, and word windows of 16 to 256 words that overlap by three quarters and
+together cover the whole text, so that a notice counts the same on one line, wrapped, or within a long text. Units and
+templates are TF-IDF vectors over all their words (term counts times smoothed idf over the files of the corpus), and the
+cosine has the full norm on both sides. A file takes the licence of its best unit that reaches ``LEAST``. A file that
+says nothing takes that of the nearest directory above it which has a licence file: paths are joined by directory, one
+row for each directory and ancestor, and the deepest ancestor wins.
+
+Units are dropped before scoring only by bounds that no unit at ``LEAST`` fails (``needed``, and norms from below).
+Template weights are literals (bounded by the templates); whatever grows is joined by key, on staged tables, so that
+Spark can split a hot word, unit or directory.
+
+Null texts and texts without such units declare nothing; a null path is in no directory. Of several licences in one
 file, or licence files in one directory, the highest cosine wins, then the smallest name. A path that comes
 twice is one file. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import stage
 
-#: Names and wordings of licence notices.
+#: Names and wordings of licence notices. One that is used alone is a wording of its own.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."),
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "Released into the public domain under CC0 1.0 Universal.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3. This program is free software.",
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 3. This program is free software."),
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy.",
+    "MIT": ("Released, distributed and licensed under the MIT License.", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy."),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A line is looked at if it has one of these; least cosine of a declaration; names of licence files.
-CUE = "(?i)licen[cs]e|copying|copyright|spdx|public domain|redistribution"
+#: Least cosine of a declaration; names of licence files; words of a unit's windows.
 LEAST = 0.45
 FILE_NAMES = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 WORD = "[a-z]+|[0-9]+"
+SIZES = (16, 32, 64, 128, 256)
+
 
+def _counts(text: str) -> dict[str, int]:
+    return dict(sorted(Counter(re.findall(WORD, text.lower())).items()))
 
-def _words(text: str) -> list[str]:
-    return sorted(set(re.findall(WORD, text.lower())))
 
+def wordings(templates: Mapping[str, str | tuple[str, ...]]) -> list[tuple[str, dict[str, int]]]:
+    """Licence and word counts of each wording, by name."""
+    return [(n, _counts(t)) for n in sorted(templates) for t in ((templates[n],) if isinstance(templates[n], str) else templates[n])]
 
-def licence_lines(files: DataFrame) -> DataFrame:
-    """path, line number and the template words of each line that speaks of a licence; files: path, text."""
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in _words(t)})
-    marked = files.where(F.col("text").rlike(CUE)).select("path", F.posexplode(F.split("text", "\\r\\n|\\r|\\n")).alias("line", "said")).where(F.col("said").rlike(CUE))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("said"), F.lit(f"({WORD})"), 1))
-    known = F.array(*map(F.lit, vocabulary))
-    return marked.select("path", "line", F.array_intersect(words, known).alias("words"), F.size(F.array_except(words, known)).alias("others"))
 
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
 
-def declared(lines: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """path, licence, cosine, line: the best declaration of each file that has one."""
-    sizes = lines.agg(F.count("*").alias("n")).first()["n"]
-    seen = {r["w"]: r["n"] for r in lines.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    weight = lambda w: math.log((1 + sizes) / (1 + seen.get(w, 0))) + 1
-    rare = math.log(1 + sizes) + 1
-    norms = {n: math.sqrt(sum(weight(w) ** 2 for w in _words(t))) for n, t in templates.items()}
-    square = F.create_map(*(F.lit(x) for w in sorted({w for t in templates.values() for w in _words(t)}) for x in (w, weight(w) ** 2)))
-    add = lambda ws: F.aggregate(ws, F.lit(0.0), lambda s, w: s + square[w])
-    own = F.sqrt(add(F.col("words")) + F.least(F.col("others"), F.lit(8)) * (rare / 4) ** 2)
 
-    def cosine(name: str) -> Column:
-        common = F.array_intersect("words", F.array(*map(F.lit, _words(templates[name]))))
-        # A notice is often a part of its template: the norm is that of the template's part which the line could cover.
-        return F.when(own > 0, add(common) / own / F.sqrt(F.greatest(add(common), F.lit(norms[name] ** 2 / 4)))).otherwise(0.0)
+def needed(vector: Mapping[str, float], idf: Mapping[str, float]) -> tuple[list[str], int]:
+    """Words of a template and how many of them a unit has at least if their cosine reaches ``LEAST``.
 
-    best = F.array_max(F.array(*(F.struct(cosine(n).alias("cosine"), F.lit(-k).alias("order"), F.lit(n).alias("licence")) for k, n in enumerate(sorted(templates)))))
-    scored = lines.select("path", "line", best.alias("best")).where(F.col("best.cosine") >= LEAST)
+    By Cauchy-Schwarz the words that both have carry LEAST ** 2 of the template's squared norm. The commonest words are left
+    out while they carry at most half of that; the rest must then come from the others, of which the heaviest are counted.
+    """
+    square = sum(v * v for v in vector.values())
+    rest, kept = 0.999 * LEAST**2 * square, dict(vector)
+    for w in sorted(vector, key=lambda w: (idf[w], w)):
+        if rest - vector[w] ** 2 < 0.999 * LEAST**2 * square / 2:
+            break
+        rest -= kept.pop(w) ** 2
+    few = 0
+    for v in sorted(kept.values(), reverse=True):
+        few, rest = few + 1, rest - v * v
+        if rest <= 0:
+            break
+    return sorted(kept), few
+
+
+def units_of(files: DataFrame, possible: Callable[[Column], Column], place: Callable[[Column], Column], near: Callable[[Column], Column]) -> DataFrame:
+    """path, line (of the first word) and words of the units of each ``possible`` text that are ``near``; files: path, text.
+
+    ``place`` is a word's place among those of the templates, from 1, or 0; ``near`` is told the places of a unit's words.
+    """
+    by_line = F.transform(F.split("text", "\\r\\n|\\r|\\n"), words_in)
+    texts = files.select("path", by_line.alias("by_line")).withColumn("words", F.flatten("by_line")).where(possible(F.col("words")))
+    texts = texts.withColumn("line_of", F.flatten(F.transform("by_line", lambda ws, k: F.array_repeat(k, F.size(ws)))))
+    n = F.size("words")
+
+    def windows(s: int) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((n - s) / (s // 4))).cast("int")
+        all_of = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct((k * (s // 4)).alias("at"), F.lit(s).alias("size")))
+        return all_of if s == SIZES[0] else F.when(n > s // 2, all_of).otherwise(F.array().cast("array<struct<at:int,size:int>>"))
+
+    lines = F.transform(F.filter(F.transform("by_line", lambda ws, k: F.struct(k.alias("k"), F.size(ws).alias("size"))), lambda x: (x["size"] > 0) & (x["size"] <= SIZES[-1])), lambda x: F.struct((F.array_position("line_of", x["k"]) - 1).cast("int").alias("at"), x["size"].alias("size")))
+    texts = texts.withColumn("places", F.transform("words", place))
+    units = F.filter(F.array_distinct(F.concat(lines, *map(windows, SIZES))), lambda u: near(F.slice("places", u["at"] + 1, u["size"])))
+    cut = texts.select("path", F.explode(F.transform(units, lambda u: F.struct(F.element_at("line_of", u["at"] + 1).alias("line"), F.slice("words", u["at"] + 1, u["size"]).alias("words")))).alias("u"))
+    return cut.select("path", "u.line", "u.words")
+
+
+def declared(files: DataFrame, templates: Mapping[str, str | tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """path, licence, cosine, line: the best declaration of each file that has one; files: path, text."""
+    spark, said = files.sparkSession, wordings(templates)
+    seen = stage(files.where("text is not null").select(F.explode(F.concat(F.array_distinct(words_in(F.col("text"))), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("files")), "words")
+    vocabulary = sorted({w for _, c in said for w in c})
+    files_with = {r["word"]: r["files"] for r in seen.where(F.col("word").isin("", *vocabulary)).collect()}
+    total = files_with.get("", 0)  # every text counts the empty word once
+    idf = {w: math.log((1 + total) / (1 + files_with.get(w, 0))) + 1 for w in vocabulary}
+    vectors = [{w: n * idf[w] for w, n in c.items()} for _, c in said]
+    norms = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
+    cues = [needed(x, idf) for x in vectors]
+    literal = lambda ws: F.array(*map(F.lit, ws))
+
+    def possible(words: Column) -> Column:
+        known = F.array_intersect(words, literal(sorted({w for ws, _ in cues for w in ws})))
+        return F.exists(F.array(known), lambda k: functools.reduce(Column.__or__, (F.size(F.array_intersect(k, literal(ws))) >= few for ws, few in cues)))
+
+    places = F.create_map(*(F.lit(x) for k, w in enumerate(vocabulary) for x in (w, k + 1)))
+    shares = [F.array(*(F.lit(x.get(w, 0.0) * idf[w] / m) for w in vocabulary)) for x, m in zip(vectors, norms, strict=True)]
+    largest = F.array(*(F.lit(max(x.get(w, 0.0) * idf[w] / m for x, m in zip(vectors, norms, strict=True))) for w in vocabulary))
+    squares = F.array(*(F.lit(idf[w] ** 2) for w in vocabulary))
+    add = lambda known, values: F.aggregate(known, F.lit(0.0), lambda s, k: s + F.element_at(values, k))
+
+    def near_any(unit: Column) -> Column:
+        """Whether some cosine may reach LEAST: foreign words weigh 1 at least, and counts are at most their squares."""
+
+        def judge(x: Column) -> Column:
+            low = 0.999 * LEAST * F.sqrt(add(x, squares) + F.size(unit) - F.size(x))
+            dot = F.greatest(*(F.when(F.size(unit) >= LEAST**2 * sum(c.values()), add(x, v)).otherwise(0.0) for v, (_, c) in zip(shares, said, strict=True)), F.lit(0.0))
+            return (add(x, largest) >= low) & (dot >= low)
+
+        return F.exists(F.array(F.array_remove(unit, 0)), lambda x: F.when(F.size(x) > 0, judge(x)).otherwise(False))
+
+    found = stage(units_of(files.where("text is not null"), possible, lambda w: F.coalesce(places[w], F.lit(0)), near_any).withColumn("unit", F.md5(F.array_join("words", " "))), "units")
+    # Units of the same words are scored once. What a foreign word weighs is at least 1: that bounds the cosine before any join.
+    units = found.groupBy("unit").agg(F.first("words").alias("words"))
+    table = spark.createDataFrame([(w, idf[w], [x.get(w, 0.0) * idf[w] / m for x, m in zip(vectors, norms, strict=True)]) for w in vocabulary], "word string, idf double, share array<double>")
+    tf = units.select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(F.count("*").alias("tf")).join(F.broadcast(table), "word", "left")
+    # A unit with under LEAST ** 2 of a wording's words gets to LEAST only by one that is repeated there ("License"): no match.
+    dots = [F.when(F.sum("tf") >= LEAST**2 * sum(c.values()), F.sum(F.coalesce(F.col("tf") * F.col("share")[k], F.lit(0.0)))).otherwise(0.0) for k, (_, c) in enumerate(said)]
+    sums = tf.groupBy("unit").agg(F.array(*dots).alias("dots"), F.sum((F.col("tf") * F.coalesce("idf", F.lit(1.0))) ** 2).alias("least"))
+    near = stage(sums.where(F.array_max("dots") >= 0.999 * LEAST * F.sqrt("least")).join(units, "unit"), "near")
+    # The norm over all words, with the idf of each.
+    each = near.select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(F.count("*").alias("tf")).join(seen, "word")
+    weight = F.log(F.lit(1.0 + total) / (1 + F.col("files"))) + 1
+    norm = each.groupBy("unit").agg(F.sqrt(F.sum((F.col("tf") * weight) ** 2)).alias("norm"))
+    best = F.array_max(F.array(*(F.struct(F.round(F.col("dots")[k] / F.col("norm"), 9).alias("cosine"), F.lit(-k).alias("order"), F.lit(n).alias("licence")) for k, (n, _) in enumerate(said))))
+    scored = stage(near.join(norm, "unit").select("unit", best.alias("best")).where(F.col("best.cosine") >= LEAST), "scored")
     first = F.max_by(F.struct("best.licence", "best.cosine", "line"), F.struct("best.cosine", "best.order", -F.col("line")))
-    return scored.groupBy("path").agg(first.alias("x")).select("path", "x.licence", "x.cosine", "x.line")
+    return found.select("path", "line", "unit").join(scored, "unit").groupBy("path").agg(first.alias("x")).select("path", "x.licence", "x.cosine", "x.line")
 
 
 def directory_of(path: Column) -> Column:
@@ -89,8 +166,7 @@ def scan(files: DataFrame, notice: Column | None = None) -> DataFrame:
     its name.
     """
     notice = F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAMES) if notice is None else notice
-    lines = stage(licence_lines(files), "lines")
-    own = stage(declared(lines), "declared")
+    own = stage(declared(files), "declared")
     at = own.where(notice).withColumn("directory", directory_of(F.col("path")))
     by_dir = at.groupBy("directory").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), F.col("licence"))).alias("given"))
     # Directories are far fewer than files: each is joined to its ancestors that have a licence, the deepest of which wins.

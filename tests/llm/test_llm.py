@@ -303,6 +303,36 @@ def test_licences(spark):
     assert found == {"a/LICENSE": ("MIT", "file"), "a/b/x.txt": ("MIT", "directory"), "a/b/y.txt": ("Apache-2.0", "file"), "a/b/c/COPYING": ("GPL-3.0", "file"), "a/b/c/d/z": ("GPL-3.0", "directory"), "z/y": (None, None), None: (None, None), "top": (None, None)}
 
 
+def test_long_prose_with_a_few_words_of_a_licence_declares_none(spark):
+    r = random.Random(3)
+    prose = [f"{a}{b}{c}" for a in ("mor", "tel", "san", "vik") for b in ("a", "o", "ei", "u") for c in ("n", "rd", "lt", "mp")]
+    text = " ".join([*r.choices(prose, k=300), "lost his license and you may not use this", *r.choices(prose, k=300), "except in trade with"])
+    notice = "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."
+    within = " ".join([*r.choices(prose, k=300), notice, *r.choices(prose, k=300)])
+    files = [("a/1", text), ("b/1", within), *((f"c/{k}", " ".join(r.choices(prose, k=60))) for k in range(20))]
+    found = {r["path"]: r["licence"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect() if r["licence"]}
+    assert found == {"b/1": "Apache-2.0"}
+
+
+def test_a_heading_is_no_licence(spark):
+    files = [("a/1", "# License\ntext"), ("b/1", "the license"), ("c/1", "Licensed"), ("d/1", "Released under the MIT License."), *((f"e/{k}", "plain words of the text") for k in range(40))]
+    assert {r["path"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect() if r["licence"]} == {"d/1"}
+
+
+def test_licence_cosine_is_that_of_tf_idf(spark):
+    files = [("a", "Licensed under the the MIT license, said Tom"), ("b", "the cat"), ("c", "Released under the MIT License. Permission is hereby granted, free of charge, to anyone")]
+    tokens = {p: re.findall("[a-z]+|[0-9]+", t.lower()) for p, t in files}
+    idf = lambda w: math.log(4 / (1 + sum(w in ws for ws in tokens.values()))) + 1
+    vector = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    said = "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy."
+    t, own = vector(re.findall("[a-z]+", said.lower())), vector(tokens["c"])
+    rows = licenses.declared(spark.createDataFrame(files, "path string, text string"), {"MIT": said}).collect()
+    got = {r["path"]: r["cosine"] for r in rows}
+    assert got["c"] == pytest.approx(sum(x * t.get(w, 0) for w, x in own.items()) / norm(t) / norm(own))
+    assert "b" not in got
+
+
 def test_pipeline_equals_its_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
