@@ -333,6 +333,16 @@ def test_licence_cosine_is_that_of_tf_idf(spark):
     assert "b" not in got
 
 
+def test_wrapped_headers_and_untitled_licence_files(spark):
+    wrap = lambda text, n: "\n".join(" * " + " ".join(ws) for ws in itertools.batched(text.split(), n))
+    code = "\n".join(f"int f{k}(int x) {{ return x * {k}; }}" for k in range(60))
+    files = [("m/LICENSE", wrap(licenses.TEXTS["MIT"][0], 9)), ("m/src/a.c", code)]
+    files += [(f"{n}/a.c", wrap(licenses.TEXTS[n][0], 6) + "\n" + code) for n in ("Apache-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause")]
+    files += [(f"none/{k}", code) for k in range(10)]
+    found = {r["path"]: (r["licence"], r["origin"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect() if r["licence"]}
+    assert found == {"m/LICENSE": ("MIT", "file"), "m/src/a.c": ("MIT", "directory"), **{p: (p.split("/")[0], "file") for p, _ in files[2:7]}}
+
+
 def test_pipeline_equals_its_stages(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
