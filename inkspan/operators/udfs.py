@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame, scope: str = "source") -> DataFrame:
     """doc_id and the smallest earlier doc_id of its scope that is as long within 5 % and begins alike.
 
     Candidates share a length band and the hash of the first eight words of the normalised text or of the eight after;
-    copies are collapsed first, so that a group of copies is one candidate.
+    copies are collapsed first, so that a group of copies is one candidate. Lengths that differ by 5 % of the longer one can
+    lie two bands apart.
     """
     n = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(scope).alias("scope"), nfkc("text").alias("norm")).where("norm <> ''")
     n = n.select("doc_id", "scope", F.length("norm").alias("size"), F.left("norm", F.lit(SHOWN)).alias("shown"))
@@ -136,7 +137,7 @@ def near_duplicates(docs: DataFrame, scope: str = "source") -> DataFrame:
     words = F.split("shown", " ")
     keys = F.array_distinct(F.array(F.xxhash64(F.slice(words, 1, 8)), F.xxhash64(F.slice(words, 9, 8))))
     keyed = firsts.withColumn("key", F.explode(keys)).withColumn("band", F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1 + BAND))))
-    left = keyed.select("scope", "key", F.col("band").alias("b"), F.col("doc_id").alias("a_id"), F.col("size").alias("a_size"), F.col("shown").alias("a_shown"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"))
+    left = keyed.select("scope", "key", F.col("band").alias("b"), F.col("doc_id").alias("a_id"), F.col("size").alias("a_size"), F.col("shown").alias("a_shown"), F.explode(F.array(*(F.col("band") + k for k in range(-2, 3)))).alias("near"))
     pairs = left.join(keyed.select("scope", "key", F.col("band").alias("near"), "doc_id", "size", "shown"), ["scope", "key", "near"]).where((F.col("doc_id") < F.col("a_id")) & (F.abs(F.col("size") - F.col("a_size")) <= BAND * F.col("a_size")))
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -132,6 +132,12 @@ def test_near_duplicates(spark):
     assert [tuple(r) for r in udfs.near_duplicates(docs).collect()] == [(2, 1)]
 
 
+def test_near_duplicates_two_bands_apart(spark):
+    start = " ".join(f"w{k:03d}" for k in range(100))
+    docs = spark.createDataFrame([(k, "s", start + "z" * (n - len(start))) for k, n in enumerate((540, 568, 600))], "doc_id long, source string, text string")
+    assert [tuple(r) for r in udfs.near_duplicates(docs).collect()] == [(1, 0)]
+
+
 def test_versions_compare_as_numbers():
     assert readers.parse_version("1.10.0") > readers.parse_version("1.9.2")
 
