@@ -7,7 +7,8 @@ cosine has the full norm on both sides. A file takes the licence of its best uni
 says nothing takes that of the nearest directory above it which has a licence file: paths are joined by directory, one
 row for each directory and ancestor, and the deepest ancestor wins.
 
-Units are dropped before scoring only by bounds that no unit at ``LEAST`` fails (``needed``, and norms from below).
+Units are dropped before scoring by bounds that no unit at ``LEAST`` fails (``needed``, and norms from below), and by one
+rule that is not such a bound: a unit with under LEAST ** 2 of a wording's words is not compared with that wording.
 Template weights are literals (bounded by the templates); whatever grows is joined by key, on staged tables, so that
 Spark can split a hot word, unit or directory.
 
