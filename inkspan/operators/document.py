@@ -88,9 +88,9 @@ def word_counts(d: Spark, a: str = "w", n: str = "n") -> Steps:
 
 
 def statement(d: Spark, steps: Steps, keep: dict[str, str], table: str = "documents", key: str = "doc_id") -> str:
-    """One row for each text that isn't blank: what to keep of the steps over the base columns."""
-    kept = ", ".join(f"{e} as {k}" for k, e in keep.items())
-    return layered(d, needed(base(d) | steps, kept), table, f"{key}, text", f"text is not null and {d.strip('text')} <> ''") + f" select {key}, {kept} from z_end"
+    """One row for each text: what to keep of the steps over the base columns. Null counts as empty; blank texts score 0."""
+    kept = ", ".join(f"case when t0 = '' then 0 else {e} end as {k}" if k == "score" else f"{e} as {k}" for k, e in keep.items())
+    return layered(d, needed(base(d) | steps, kept), table, f"{key}, coalesce(text, '') as text") + f" select {key}, {kept} from z_end"
 
 
 def _cv(d: Spark, a: str, n: str) -> Steps:

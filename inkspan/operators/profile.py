@@ -25,8 +25,8 @@ SUBORDINATING = "because although though while since if unless when where wherea
 MODALS = "can could would should may might must shall".split()
 DISCOURSE = "well basically essentially actually literally honestly obviously clearly frankly naturally anyway anyhow indeed certainly definitely surely simply merely".split()
 HEDGING = "maybe perhaps might somewhat arguably possibly apparently relatively fairly likely unlikely probably presumably conceivably roughly approximately seemingly supposedly tends suggest suggests indicate indicates appear appears seem seems".split()
-INTENSIFYING = "very extremely incredibly absolutely completely totally utterly highly deeply strongly remarkably exceptionally particularly especially truly really quite entirely thoroughly immensely".split()
-TRANSITIONAL = "however therefore moreover furthermore consequently nevertheless nonetheless meanwhile additionally similarly likewise conversely accordingly subsequently hence thus instead otherwise besides indeed finally".split()
+INTENSIFYING = "very really extremely absolutely totally incredibly quite rather highly particularly especially remarkably utterly thoroughly deeply profoundly enormously vastly significantly considerably exceedingly terribly awfully entirely completely".split()
+TRANSITIONAL = "however therefore meanwhile furthermore moreover consequently nevertheless nonetheless additionally accordingly subsequently alternatively conversely similarly likewise otherwise hence thus instead regardless notwithstanding".split()
 NOMINAL = "(tion|sion|ment|ness|ity|ence|ance)$"
 PASSIVE = r"(?i)\b(was|were|been|being|is|are)\s+\w+ed\b"
 QUOTED = '["“][^"”]*["”]'
@@ -172,9 +172,14 @@ def corpus(d: Spark) -> str:
     return f"{tall(d)}, {joined}, {docs}, {seq}, z_c as (select a.*, b.seq as seq, cast(b.words_upto as bigint) as words_upto from z_src a join z_seq b on a.doc_id = b.doc_id)"
 
 
+def mean4(x: str) -> str:
+    """Mean of numbers of four digits, to four digits, halves up: from whole numbers, so that no engine rounds it differently."""
+    return f"floor((2 * sum(cast(round({x} * 10000) as bigint)) + count({x})) / cast(nullif(2 * count({x}), 0) as double)) / 10000"
+
+
 def averaged(d: Spark) -> str:
     """A2: the profile of a source, averaged over its documents (each has every element, so the fold is the mean)."""
-    return corpus(d) + " select source, element, kind, max_by(direction, seq) as direction, round(avg(weight), 4) as weight, round(avg(value), 4) as value, count(*) as parses from z_c group by source, element, kind"
+    return corpus(d) + f" select source, element, kind, max_by(direction, seq) as direction, {mean4('weight')} as weight, {mean4('value')} as value, count(*) as parses from z_c group by source, element, kind"
 
 
 def convergence(d: Spark) -> str:
@@ -214,9 +219,7 @@ def _similar(a: str, b: str) -> str:
 
 
 def profiles(d: Spark) -> str:
-    # Unrounded, so that what is worked out from profiles is rounded once.
-    plain = averaged(d).replace("round(avg(weight), 4)", "avg(weight)").replace("round(avg(value), 4)", "avg(value)")
-    head, _, tail = plain.rpartition(" select source")
+    head, _, tail = averaged(d).rpartition(" select source")
     return f"{head}, z_prof as (select source{tail})"
 
 
@@ -245,12 +248,6 @@ def similarity(d: Spark) -> str:
 
 
 def stacked(d: Spark) -> str:
-    """A1: a baseline (the first source) with overlays (the others, in order): the last to set an element wins."""
-    return profiles(d) + """, z_o as (select *, row_number() over (partition by element order by source desc) as z_k from z_prof where source in ('src0', 'src1', 'src2')) select element, source, direction, weight, value from z_o where z_k = 1"""
-
-
-def english(d: Spark) -> str:
-    """How strongly an element is asked for, in words."""
-    scale = lambda v: f"case when {v} >= 0.8 then 'very strongly' when {v} >= 0.6 then 'strongly' when {v} >= 0.4 then 'moderately' when {v} >= 0.2 then 'slightly' else 'barely' end"
-    name = "replace(element, '_', ' ')"
-    return profiles(d) + f""" select source, element, case when kind = 'metric' then concat('keep ', {name}, ' near ', cast(cast(round(value * 10000) as bigint) as varchar(20)), ' per 10000') else concat({scale("weight")}, ' ', direction, ' ', {name}) end as instruction from z_prof"""
+    """A1: a baseline (the first source) with all others as overlays, in order: the last to set an element wins; elements keep
+    the order in which they were first seen."""
+    return profiles(d) + """, z_o as (select *, row_number() over (partition by element order by source desc) as z_k from z_prof) select element, source, direction, weight, value from z_o where z_k = 1"""

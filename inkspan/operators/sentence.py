@@ -13,9 +13,6 @@ from inkspan.functions.dialect import Spark, held, hits, ladder, severe
 from inkspan.operators import document as D
 
 Steps = dict[str, str]
-#: Patterns that say something is missing which people write; and those that count as signs of a machine.
-ABSENCES = ("no_contractions", "first_person_absent", "no_specifics", "no_digressions", "no_questions_exclamations")
-
 
 def scores(d: Spark) -> Steps:
     """Steps over ``sentence`` and ``uniform``: d1 to d12, and d13, the sentence's score."""
@@ -111,20 +108,38 @@ def composite(s: str, p: str, t: str, ns: str, np: str, nt: str) -> Steps:
 SCORED = [n for n in D.SIGNALS if L.WEIGHTS.get(n, 0.5) > 0]
 
 
-def analysis(d: Spark, table: str = "{documents}") -> str:
-    """The whole score of every document: tiers, composite, genre damping, confidence band and class."""
+def weight_of(signal: str) -> float:
+    return L.WEIGHTS.get(signal, 0.5)
+
+
+def signal_steps(d: Spark) -> tuple[Steps, list[str]]:
+    """All scored document signals as steps over one row, <signal>__score each; and their names."""
     steps: Steps = {}
     for n in SCORED:
         own = D.SIGNALS[n][1](d)
         names = {k: f"{n}__{k}" for k in own}
         for k, e in own.items():
             steps[names[k]] = re.sub(r"(?<![\w'])(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + r")(?![\w'(])", lambda m, names=names: names[m[1]], e)
+    return steps, list(SCORED)
+
+
+#: Document signals that SQL has no function for, or that need other rows: columns of the table that ``analysis`` is given.
+OUTSIDE = {"compression_ratio": "x_compression_ratio", "hollow_informality": "x_hollow_informality", "semantic_monotony": "x_semantic_monotony", "chunked_consistency": "x_chunked_consistency"}
+
+
+def analysis(d: Spark, table: str = "{documents}", outside: dict[str, str] | None = None) -> str:
+    """The whole score of every document: tiers, composite, genre damping, confidence band and class. Blank texts score 0.
+
+    ``outside`` has further document signals as columns of the table.
+    """
+    steps, _ = signal_steps(d)
     steps |= {"para_texts": "paras"} | D.genre_steps(d)
-    signals = {n: f"{n}__score" for n in SCORED}
+    signals = {n: f"{n}__score" for n in SCORED} | (outside or {})
+    extra = "".join(f", {c}" for c in (outside or {}).values())
     steps["t_score"] = combined(d, signals)
     steps["t_count"] = " + ".join(f"case when {e} > 0 then 1 else 0 end" for e in signals.values())
     keep = ["t_score", "t_count", "genre", "n", "contractions__score", "first_person__score", "entity_density__score", "digression_absence__score", "ai_opening_phrases__score", "bullet_subheading_overuse__score", "closing_summary__score"]
-    doc = D.layered(d, D.needed(D.base(d) | steps, " ".join(keep)), table, "doc_id, text", f"text is not null and {d.strip('text')} <> ''") + f" select doc_id, {', '.join(keep)} from z_end"
+    doc = D.layered(d, D.needed(D.base(d) | steps, " ".join(keep)), table, f"doc_id, text{extra}", f"text is not null and {d.strip('text')} <> ''") + f" select doc_id, {', '.join(keep)} from z_end"
     para_rows = D.layered(d, D.needed(D.base(d), "paras"), table, "doc_id, text", f"text is not null and {d.strip('text')} <> ''") + " " + d.explode("z_end", "doc_id", "paras", "text", "para")
     own = {"z_pl": d.map("s5", "z_s", d.size(d.extract("z_s", r"[^\s]+"))), "z_pm": f"{d.total('z_pl')} / nullif(n5, 0)", "z_pcv": f"sqrt({d.total(d.map('z_pl', 'z_l', '(z_l - z_pm) * (z_l - z_pm)'))} / nullif(n5, 0)) / nullif(z_pm, 0)"}
     own |= {
@@ -154,4 +169,5 @@ def analysis(d: Spark, table: str = "{documents}") -> str:
     more, at = D.chained(end, "z_w", "z_e")
     chain += more
     r = lambda x: f"round(cast({x} as double), 4)"
-    return f"{chain} select doc_id, {r('s_score')} as sentence_score, {r('p_score')} as paragraph_score, {r('t_score')} as document_score, cast(c4_signals as bigint) as signal_count, genre, overall_score, {r('greatest(0, damped - margin)')} as low, {r('least(100, damped + margin)')} as high, category, confidence from {at}"
+    blank = f"select doc_id, 0 as sentence_score, 0 as paragraph_score, 0 as document_score, 0 as signal_count, 'general' as genre, 0 as overall_score, 0 as low, 0 as high, 'clean' as category, 'high' as confidence from {table} where text is null or {d.strip('text')} = ''"
+    return f"{chain} {blank} union all select doc_id, {r('s_score')} as sentence_score, {r('p_score')} as paragraph_score, {r('t_score')} as document_score, cast(c4_signals as bigint) as signal_count, genre, overall_score, {r('greatest(0, damped - margin)')} as low, {r('least(100, damped + margin)')} as high, category, confidence from {at}"
