@@ -1,7 +1,7 @@
 """What SQL has no function for, in Arrow batches: compression, folding of letters, page text, fuzzy near-duplicates, clustering.
 
-Each is one map-side pass over the rows it needs; only ``near_duplicates`` and ``clusters`` group rows, and both first
-narrow them by keys that bound a group.
+Each is one map-side pass over the rows it needs; only ``near_duplicates`` joins rows, on keys, and ``clusters`` reads
+the rows of an owner in order, holding one text for each cluster.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ import difflib
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,16 @@ STOP = re.compile(r"(?<=[.!?])\s+")
 CASUAL = re.compile(r"\b(honestly|look,|here'?s the thing|basically|you know|frankly|truth be told)\b", re.IGNORECASE)
 #: First characters that near-duplicates are compared by (a fixed rule of the operator), their least likeness, length band.
 SHOWN, LIKENESS, BAND = 500, 0.9, 0.05
-#: Tags whose text is no content, tags that hold an article.
-SKIPPED = frozenset({"script", "style", "nav", "aside", "noscript", "header", "footer", "form"})
-ARTICLE = frozenset({"article", "main"})
+#: Minima of hashed word pairs that near-duplicates are looked for by.
+MINIMA = 8
+#: What is left out of an article, and of a page without one, by tag, role, class or part of a class.
+IN_ARTICLE = frozenset({"script", "style", "nav", "aside"})
+IN_PAGE = frozenset({"nav", "header", "footer", "aside", "script", "style", "noscript", "iframe"})
+ROLES = frozenset({"navigation", "banner", "contentinfo"})
+CLASSES, CLASS_PARTS = frozenset({"ad", "ads", "advertisement", "sidebar"}), ("cookie", "popup", "modal")
+#: Tags that may be a page's main block; least characters of one; tags that never have an end.
+BLOCKS, LEAST_BLOCK = frozenset({"div", "section", "article", "main"}), 200
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 
 
 def _ratio(data: bytes, level: int) -> float:
@@ -91,32 +100,106 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).lower().split()))
 
 
-class _Page(HTMLParser):
+class Node:
+    """An element: tag, attributes, and what stands in it (texts and elements), with the length of its markup."""
+
+    __slots__ = ("attrs", "inside", "parts", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
+        self.tag, self.attrs, self.inside, self.parts = tag, attrs, 0, []
+
+
+class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip, self.inside, self.all, self.article = 0, 0, [], []
+        self.open = [Node("", {})]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.skip += tag in SKIPPED
-        self.inside += tag in ARTICLE or ("role", "main") in attrs
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.open[-1].parts.append(node)
+        self.open[-1].parts.append(len(self.get_starttag_text() or ""))
+        if tag not in VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
-        self.skip = max(0, self.skip - (tag in SKIPPED))
-        self.inside = max(0, self.inside - (tag in ARTICLE))
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
+                self.open[-1].parts.append(len(tag) + 3)
+                break
 
     def handle_data(self, data: str) -> None:
-        if not self.skip and data.strip():
-            self.all.append(data.strip())
-            if self.inside:
-                self.article.append(data.strip())
+        self.open[-1].parts.append(data)
+
+
+def _left_out(node: Node, article: bool) -> bool:
+    kind = node.attrs.get("class", "")
+    if article:
+        return node.tag in IN_ARTICLE or node.attrs.get("role") == "navigation"
+    return node.tag in IN_PAGE or node.attrs.get("role") in ROLES or not CLASSES.isdisjoint(kind.split()) or any(c in kind for c in CLASS_PARTS)
+
+
+def _walk(top: Node) -> list[Node]:
+    """All elements below ``top``, in document order, without recursion."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed([x for x in node.parts if isinstance(x, Node)]))
+    return out
+
+
+def _read(top: Node, article: bool) -> tuple[str, dict[int, tuple[str, int]]]:
+    """The text below ``top``, and each block's text and length of markup; what is left out counts in neither."""
+    lines: list[str] = []
+    blocks: dict[int, tuple[int, int, int]] = {}
+    size, chars = 0, 0
+    starts: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[Node | str | int, bool]] = [(top, False)]
+    while stack:
+        x, done = stack.pop()
+        if isinstance(x, int):
+            size += x
+        elif isinstance(x, str):
+            size += len(x)
+            if t := " ".join(x.split()):
+                lines.append(t)
+        elif done:
+            at, before = starts.pop(id(x))
+            blocks[id(x)] = (at, len(lines), size - before)
+        elif x is top or not _left_out(x, article):
+            starts[id(x)] = len(lines), size
+            stack.append((x, True))
+            stack.extend((y, False) for y in reversed(x.parts))
+    return "\n".join(lines), {k: ("\n".join(lines[a:b]), n) for k, (a, b, n) in blocks.items()}
 
 
 def page_text(html: str) -> str:
-    """The text of a page's article, or of its body where it has none."""
-    p = _Page()
+    """The text of a page's first article, main part or part with that role; else of the block, over 200 characters long, that
+    has the most text for its markup (length squared over markup; the first of equals); else of the whole body."""
+    p = _Tree()
     p.feed(html)
-    own = "\n".join(p.article)
-    return own if len(own) > 200 or not p.all else "\n".join(p.article or p.all)
+    p.close()
+    every = _walk(p.open[0])
+    tests = (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main")
+    for is_article in tests:
+        for node in every:
+            if is_article(node):
+                return _read(node, True)[0]
+    body = next((n for n in every if n.tag == "body"), p.open[0])
+    whole, texts = _read(body, False)
+    best, most = whole, 0.0
+    for node in every:
+        if node.tag in BLOCKS and id(node) in texts:
+            text, markup = texts[id(node)]
+            if len(text) > LEAST_BLOCK and len(text) ** 2 / max(1, markup) > most:
+                best, most = text, len(text) ** 2 / max(1, markup)
+    return best
 
 
 @pandas_udf(StringType())
@@ -127,45 +210,191 @@ def page_text_udf(html: pd.Series) -> pd.Series:
 def near_duplicates(docs: DataFrame, scope: str = "source") -> DataFrame:
     """doc_id and the smallest earlier doc_id of its scope that is as long within 5 % and begins alike.
 
-    Candidates share a length band and the hash of the first eight words of the normalised text or of the eight after;
-    copies are collapsed first, so that a group of copies is one candidate. Lengths that differ by 5 % of the longer one can
-    lie two bands apart.
+    Candidates share a length band and one of ``MINIMA`` least hashes of the word pairs of what is compared (500
+    characters), so that texts with a few changed words anywhere meet; copies are collapsed first. Texts that begin alike
+    but share no minimum are missed: tests measure the share that is found. Lengths that differ by 5 % of the longer one
+    can lie two bands apart. Pairs that share several keys are compared once.
     """
     n = docs.where(F.col("text").isNotNull()).select("doc_id", F.col(scope).alias("scope"), nfkc("text").alias("norm")).where("norm <> ''")
     n = n.select("doc_id", "scope", F.length("norm").alias("size"), F.left("norm", F.lit(SHOWN)).alias("shown"))
     firsts = n.groupBy("scope", "size", "shown").agg(F.min("doc_id").alias("doc_id"))
     words = F.split("shown", " ")
-    keys = F.array_distinct(F.array(F.xxhash64(F.slice(words, 1, 8)), F.xxhash64(F.slice(words, 9, 8))))
-    keyed = firsts.withColumn("key", F.explode(keys)).withColumn("band", F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1 + BAND))))
-    left = keyed.select("scope", "key", F.col("band").alias("b"), F.col("doc_id").alias("a_id"), F.col("size").alias("a_size"), F.col("shown").alias("a_shown"), F.explode(F.array(*(F.col("band") + k for k in range(-2, 3)))).alias("near"))
-    pairs = left.join(keyed.select("scope", "key", F.col("band").alias("near"), "doc_id", "size", "shown"), ["scope", "key", "near"]).where((F.col("doc_id") < F.col("a_id")) & (F.abs(F.col("size") - F.col("a_size")) <= BAND * F.col("a_size")))
+    pairs_of = F.when(F.size(words) < 3, words).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda k: F.array_join(F.slice(words, k, 2), " ")))
+    least = lambda k: F.array_min(F.transform("pairs", lambda x: F.xxhash64(x, F.lit(k))))
+    keys = F.array_distinct(F.array(*(least(k) for k in range(MINIMA))))
+    keyed = firsts.withColumn("pairs", pairs_of).withColumn("key", F.explode(keys)).drop("pairs").withColumn("band", F.floor(F.log(F.col("size") + 1) / F.log(F.lit(1 + BAND))))
+    slim = keyed.select("scope", "key", "band", "doc_id", "size")
+    left = slim.select("scope", "key", F.col("doc_id").alias("a_id"), F.col("size").alias("a_size"), F.explode(F.array(*(F.col("band") + k for k in range(-2, 3)))).alias("near"))
+    near = (F.col("doc_id") < F.col("a_id")) & (F.abs(F.col("size") - F.col("a_size")) <= BAND * F.col("a_size"))
+    pairs = left.join(slim.withColumnRenamed("band", "near"), ["scope", "key", "near"]).where(near).select("a_id", "doc_id").distinct()
+    texts = firsts.select("doc_id", "shown")
+    pairs = pairs.join(texts.select(F.col("doc_id").alias("a_id"), F.col("shown").alias("a_shown")), "a_id").join(texts, "doc_id")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [difflib.SequenceMatcher(None, x, y).ratio() >= LIKENESS for x, y in zip(b["a_shown"], b["shown"], strict=True)]
+            keep = [_alike(x, y) for x, y in zip(b["a_shown"], b["shown"], strict=True)]
             yield b.loc[keep, ["a_id", "doc_id"]]
 
-    found = pairs.select("a_id", "a_shown", "doc_id", "shown").distinct().mapInPandas(alike, "a_id long, doc_id long")
+    found = pairs.mapInPandas(alike, "a_id long, doc_id long")
     return found.groupBy(F.col("a_id").alias("doc_id")).agg(F.min("doc_id").alias("first_id"))
 
 
+def _alike(x: str, y: str) -> bool:
+    """Whether the ratio is at least LIKENESS; bounds from above are tried first."""
+    m = difflib.SequenceMatcher(None, x, y)
+    return m.real_quick_ratio() >= LIKENESS and m.quick_ratio() >= LIKENESS and m.ratio() >= LIKENESS
+
+
 def clusters(prompts: DataFrame) -> DataFrame:
-    """Leader clustering of prompts (owner, seq, prompt) in order; clusters of five and more are significant.
+    """Leader clustering of prompts (owner, seq, prompt, confidence) in order; clusters of five and more are significant.
 
-    The order of an owner's prompts decides, so an owner is one group: it is bounded by what one profile has.
+    A prompt joins the cluster whose first prompt is most like it, if at all. The order of an owner's prompts decides, so
+    an owner is read by one task, in order; what is held is one row for each of the owner's clusters, not its prompts.
     """
+    columns = ["owner", "cluster", "frequency", "representative", "avg_confidence", "significant"]
+
+    def done(owner: str, leaders: list[list]) -> pd.DataFrame:
+        ranked = sorted(leaders, key=lambda c: -c[1])
+        return pd.DataFrame([(owner, k, n, text, round(total / n, 3), n >= 5) for k, (_, n, text, total) in enumerate(ranked)], columns=columns)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[list] = []
-        for text in p.sort_values("seq")["prompt"]:
-            shown = " ".join(text.lower().split())[:200]
-            best = max(leaders, key=lambda c: difflib.SequenceMatcher(None, c[0], shown).ratio(), default=None)
-            if best is not None and difflib.SequenceMatcher(None, best[0], shown).ratio() >= 0.3:
-                best[1] += 1
-                best[2] = max(best[2], text, key=len)
-            else:
-                leaders.append([shown, 1, text])
-        owner = p["owner"].iloc[0]
-        return pd.DataFrame([(owner, k, n, t, n >= 5) for k, (_, n, t) in enumerate(leaders)], columns=["owner", "cluster", "frequency", "representative", "significant"])
-
-    return prompts.groupBy("owner").applyInPandas(run, "owner string, cluster int, frequency int, representative string, significant boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, leaders = None, []
+        for b in batches:
+            for who, text, confidence in zip(b["owner"], b["prompt"], b["confidence"], strict=True):
+                if who != owner:
+                    if leaders:
+                        yield done(owner, leaders)
+                    owner, leaders = who, []
+                shown = " ".join(text.lower().split())[:200]
+                best, most = None, 0.0
+                m = difflib.SequenceMatcher()
+                m.set_seq1(shown)
+                for c in leaders:
+                    m.set_seq2(c[0])
+                    if (r := m.ratio()) > most:
+                        best, most = c, r
+                if best is not None and most >= 0.3:
+                    best[1] += 1
+                    best[2] = text if len(text) > len(best[2]) else best[2]
+                    best[3] += confidence
+                else:
+                    leaders.append([shown, 1, text, confidence])
+        if leaders:
+            yield done(owner, leaders)
+
+    rows = prompts.where("prompt is not null and prompt <> ''").select("owner", "seq", "prompt", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    rows = rows.repartition("owner").sortWithinPartitions("owner", "seq")
+    return rows.mapInPandas(run, "owner string, cluster int, frequency int, representative string, avg_confidence double, significant boolean")
+
+
+# --- P3: how much of an original's wording a rewrite keeps ---
+TOKEN, GRAM = 70, 80
+_WORDS = re.compile(r"\b\w+\b")
+
+
+def likeness(a: str, b: str) -> float:
+    """200 times the longest common subsequence over both lengths; the subsequence by bits of a whole number."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & where.get(c, 0)
+        v = (v + u | v - u) & full
+    return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b)) if a or b else 100.0
+
+
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of characters (folded into 64 places) and lengths."""
+    bags = np.zeros((len(texts), 64), np.int16)
+    for k, t in enumerate(texts):
+        np.add.at(bags[k], [ord(c) & 63 for c in t], 1)
+    return bags, np.array([len(t) for t in texts])
+
+
+def _kept(mine: Counter, theirs: list[str], least: float, more: bool) -> int:
+    """How many of ``mine`` (with their counts) are like one of ``theirs``; common characters bound the likeness from above."""
+    known = set(theirs)
+    kept = sum(n for x, n in mine.items() if x in known)
+    rest = [x for x in mine if x not in known]
+    if not rest or not theirs:
+        return kept
+    bags, sizes = _bags(theirs)
+    for x, bag, size in zip(rest, *_bags(rest), strict=True):
+        bound = 200.0 * np.minimum(bags, bag).sum(1) / (sizes + size)
+        for k in np.flatnonzero(bound > least if more else bound >= least).tolist():
+            r = likeness(x, theirs[k])
+            if r > least or not more and r == least:
+                kept += mine[x]
+                break
+    return kept
+
+
+def overlap_of(original: str, rewrite: str) -> tuple[float, str]:
+    """Share of the rewrite's runs of two to six words that the original has (nearly), blended with that of its words."""
+    a, b = _WORDS.findall(original.lower()), _WORDS.findall(rewrite.lower())
+    if not a or not b:
+        return 0.0, "low"
+    runs = lambda w: [" ".join(w[k : k + n]) for n in range(2, 7) for k in range(len(w) - n + 1)]
+    mine = Counter(runs(b))
+    grams = _kept(mine, list(dict.fromkeys(runs(a))), GRAM, True) / mine.total() if mine else 0.0
+    words = _kept(Counter(b), list(dict.fromkeys(a)), TOKEN, False) / len(b)
+    share = 0.3 * grams + 0.7 * words
+    return round(share, 4), "high" if share > 0.7 else "moderate" if share > 0.4 else "low"
+
+
+def ngram_overlap(pairs: DataFrame) -> DataFrame:
+    """P3 for every row of (id, original, rewrite): overlap and label; null counts as empty. Rows stand alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [overlap_of(x or "", y or "") for x, y in zip(b["original"], b["rewrite"], strict=True)]
+            yield pd.DataFrame({"id": b["id"], "overlap": [x for x, _ in found], "label": [y for _, y in found]})
+
+    return pairs.select("id", "original", "rewrite").mapInPandas(run, "id string, overlap double, label string")
+
+
+# --- T12, N5, N6: chunks as the classifier sees them, and what is made of its answers ---
+CHUNK_WORDS = 300
+#: Weight of each of the classifier's buckets.
+BUCKETS = {"human": 0.0, "light-ai": 0.33, "significant-ai": 0.67, "heavy-ai": 1.0}
+
+
+def model_chunks(text: str) -> list[str]:
+    """Chunks of at least 300 words that end with a sentence; what is left is a chunk of its own."""
+    words = text.split()
+    if len(words) <= CHUNK_WORDS:
+        return [text]
+    out, start = [], 0
+    for k, w in enumerate(words):
+        if k + 1 - start >= CHUNK_WORDS and w.endswith((".", "!", "?")):
+            out.append(" ".join(words[start : k + 1]))
+            start = k + 1
+    return out + ([" ".join(words[start:])] if start < len(words) else [])
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, place, chunk; null texts have none."""
+
+    @pandas_udf("array<string>")
+    def cut(text: pd.Series) -> pd.Series:
+        return text.map(model_chunks)
+
+    return docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(cut("text")).alias("place", "chunk"))
+
+
+def classified(answers: DataFrame) -> DataFrame:
+    """From a model's logits for each chunk (doc_id, place, logits of the four buckets): probability of each document,
+    its label, the mean of each bucket and the commonest bucket (of equally common ones the first)."""
+    names = list(BUCKETS)
+    shifted = F.transform("logits", lambda x: F.exp(x - F.array_max("logits")))
+    total = F.aggregate("e", F.lit(0.0), lambda s, x: s + x)
+    rows = answers.withColumn("e", shifted).withColumn("p", F.transform("e", lambda x: x / total))
+    ai = sum((F.col("p")[k] * w for k, w in enumerate(BUCKETS.values())), F.lit(0.0))
+    rows = rows.select("doc_id", ai.alias("ai"), *(F.col("p")[k].alias(f"p{k}") for k in range(4)), (F.array_position("p", F.array_max("p")) - 1).alias("top"))
+    found = rows.groupBy("doc_id").agg(F.avg("ai").alias("ai"), *(F.round(F.avg(f"p{k}"), 4).alias(names[k].replace("-", "_")) for k in range(4)), *(F.sum((F.col("top") == k).cast("int")).alias(f"n{k}") for k in range(4)))
+    most = F.greatest(*(F.col(f"n{k}") for k in range(4)))
+    modal = F.coalesce(*(F.when(F.col(f"n{k}") == most, F.lit(names[k])) for k in range(4)))
+    label = F.when(F.col("ai") >= 0.7, "ai").when(F.col("ai") >= 0.4, "mixed").otherwise("human")
+    return found.select("doc_id", F.round("ai", 4).alias("ai_probability"), label.alias("label"), modal.alias("modal_bucket"), *(n.replace("-", "_") for n in names))

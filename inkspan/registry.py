@@ -6,9 +6,11 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkspan.functions.dialect import Duck, Spark
-from inkspan.operators import corpus, document, profile, sentence, udfs
+from inkspan.operators import corpus, document, guide, profile, sentence, udfs
+from inkspan.plans.staging import settled
 from inkspan.sources import readers
 from inkspan.streaming import stateful
 
@@ -24,6 +26,8 @@ def sql_over(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
             view = f"{t}_{zlib.crc32(sf_dir.encode()):08x}"
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
             statement = statement.replace(f"{{{t}}}", view)
+    if "inkspan_nfkc(" in statement:
+        spark.udf.register("inkspan_nfkc", udfs.nfkc)
     return spark.sql(statement)
 
 
@@ -57,11 +61,11 @@ add_sql("analyze", sentence.analysis)
 
 for _name, _make in {
     "v01_profile_elements": profile.element_query, "a01_stack_resolution": profile.stacked, "a02_corpus_average": profile.averaged, "a03_convergence": profile.convergence, "a05_completeness": profile.completeness,
-    "a06_starter_milestone": profile.milestone, "f03_fidelity": profile.fidelity, "f04_lowest_gaps": profile.gaps, "p08_profile_similarity": profile.similarity, "w01_weight_to_english": profile.english,
+    "a06_starter_milestone": profile.milestone, "f03_fidelity": profile.fidelity, "f04_lowest_gaps": profile.gaps, "p08_profile_similarity": profile.similarity,
 }.items():
     add_sql(_name, _make)
 
-for _name, _make in corpus.QUERIES.items():
+for _name, _make in (corpus.QUERIES | guide.QUERIES).items():
     add_sql(_name, _make)
 
 
@@ -73,6 +77,32 @@ def _text_score(udf) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _docs(spark, sf_dir).select("doc_id", udf("text").alias("score"))
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as the original, the turn after it as its rewrite."""
+    turns = _docs(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    after = turns.selectExpr("conv_id", "turn - 1 as turn", "text as rewrite")
+    return turns.join(after, ["conv_id", "turn"]).selectExpr("concat(conv_id, ':', turn) as id", "text as original", "rewrite")
+
+
+def chunked_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H43, a view at a time: as one statement it would be nested too deep."""
+    names = [f"{x}_{zlib.crc32(sf_dir.encode()):08x}" for x in ("chunks", "chunk_scores")]
+    settled(sql_over(spark, sf_dir, corpus.chunk_rows(Spark())), "chunks").createOrReplaceTempView(names[0])
+    spark.sql(sentence.analysis(Spark(), names[0])).createOrReplaceTempView(names[1])
+    return sql_over(spark, sf_dir, corpus.chunk_spread(Spark(), names[1]))
+
+
+def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole score with all document signals: those that need a library or other rows are worked out first, by document."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    by_doc = lambda name: QUERIES[name](spark, sf_dir).select("doc_id", F.col("score").alias(sentence.OUTSIDE[name.partition("_")[2]]))
+    own = docs.select("doc_id", udfs.compression_udf("text").alias("x_compression_ratio"), udfs.hollow_udf("text").alias("x_hollow_informality"))
+    more = settled(own.join(by_doc("h42_semantic_monotony"), "doc_id", "left").join(by_doc("h43_chunked_consistency"), "doc_id", "left"), "signals")
+    view = f"wide_{zlib.crc32(sf_dir.encode()):08x}"
+    docs.join(more, "doc_id", "left").fillna(0.0, list(sentence.OUTSIDE.values())).createOrReplaceTempView(view)
+    return spark.sql(sentence.analysis(Spark(), view, sentence.OUTSIDE))
+
+
 QUERIES |= {
     "h06_compression_ratio": _text_score(udfs.compression_udf),
     "h35_hollow_informality": _text_score(udfs.hollow_udf),
@@ -80,8 +110,15 @@ QUERIES |= {
     "l01_compression_sentence": lambda s, d: sql_over(s, d, sentence.rows(Spark(), "{documents}") + " select doc_id, cast(place as bigint) as place, sentence from z_rows").select("doc_id", "place", udfs.sentence_compression_udf("sentence").alias("score")),
     "i09_page_text": lambda s, d: _docs(s, d, "pages").select("page_id", udfs.page_text_udf("html").alias("text")),
     "t10_sections": lambda s, d: readers.sections(_docs(s, d)),
-    "p02_near_duplicates": lambda s, d: udfs.near_duplicates(_docs(s, d)),
-    "p05_clusters": lambda s, d: udfs.clusters(_docs(s, d, "conversations").where("role = 'system'").selectExpr("role as owner", "conv_id * 1000 + turn as seq", "text as prompt")),
+    "p02_near_duplicates": lambda s, d: udfs.near_duplicates(_docs(s, d), "lang"),
+    "p05_clusters": lambda s, d: udfs.clusters(_docs(s, d, "conversations").selectExpr("cast(conv_id as string) as owner", "turn as seq", "text as prompt", "0.5D as confidence")),
+    "p03_ngram_overlap": lambda s, d: udfs.ngram_overlap(_answers(s, d)),
+    "t12_model_chunks": lambda s, d: udfs.chunks(_docs(s, d)).selectExpr("doc_id", "place", "size(split(trim(chunk), ' ')) as words", "sha2(chunk, 256) as digest"),
+    "h43_chunked_consistency": chunked_consistency,
+    "analyze_full": lambda s, d: analyze_full(s, d),
     "st01_windowed_events": lambda s, d: stateful.windowed(_docs(s, d, "events")),
 }
+ORACLES["h43_chunked_consistency"] = corpus.h43(Duck())
+for _t in TABLES:
+    ORACLES["h43_chunked_consistency"] = ORACLES["h43_chunked_consistency"].replace(f"{{{_t}}}", _t)
 ORACLES["st01_windowed_events"] = "select date_trunc('day', ts) as start, event_type, count(*) as n, sum(value) as total from events group by all"
