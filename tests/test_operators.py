@@ -37,7 +37,7 @@ def _norm(v):
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
-CHECKED = ["h01_yules_k", "h05_zipf_deviation", "h09_char_ngram_profile", "h18_hedge_clusters", "h34_circular_repetition", "d5_structure", "d13_sentence", "c2_weighted_overall", "c6_genre", "v01_profile_elements", "a03_convergence", "a05_completeness", "f03_fidelity", "p08_profile_similarity", "s08_exists", "s10_retention", "s13_update_from", "s19_exact_duplicate", "t05_sentences", "t11_chunks", "l03_repetition_density", "l05_ngram_perplexity", "h42_semantic_monotony", "p03_ngram_overlap", "e01_label_summary", "e03_threshold_sweep", "k01_consolidate"]
+CHECKED = ["h01_yules_k", "h05_zipf_deviation", "h09_char_ngram_profile", "h18_hedge_clusters", "h34_circular_repetition", "d5_structure", "d13_sentence", "c2_weighted_overall", "c6_genre", "v01_profile_elements", "a03_convergence", "a05_completeness", "f03_fidelity", "p08_profile_similarity", "s08_exists", "s10_retention", "s13_update_from", "s19_exact_duplicate", "t05_sentences", "t11_chunks", "l03_repetition_density", "l05_ngram_perplexity", "h42_semantic_monotony", "p03_exact_containment", "e01_label_summary", "e03_threshold_sweep", "k01_consolidate"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -63,11 +63,11 @@ def test_machine_scores_above_person(spark):
     assert found[1]["category"] == "clean" and found[0]["category"] != "clean"
 
 
-def test_blank_and_null_texts_are_left_out(spark):
+def test_blank_and_null_texts_score_nothing(spark):
     _texts(spark, None, "", " \n ", "Short text.")
     for name in ("yules_k", "readability", "rhetorical_question_chain", "paragraph_uniformity"):
         f = document.SIGNALS[name][1]
-        assert [tuple(r) for r in spark.sql(document.statement(Spark(), f(Spark()), {"score": "score"}, "given_texts")).collect()] == [(3, 0.0)]
+        assert [tuple(r) for r in spark.sql(document.statement(Spark(), f(Spark()), {"score": "score"}, "given_texts")).collect()] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
 
 
 def test_severity_bands(spark):
