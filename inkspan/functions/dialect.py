@@ -5,7 +5,9 @@ Operators are written once as SQL expressions over these builders. A builder's m
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from re import _constants, _parser  # the standard library's own reader of patterns
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -95,6 +97,10 @@ class Spark:
     def has(self, a: str, x: str) -> str:
         return f"array_contains({a}, {x})"
 
+    def member(self, x: str, items: Iterable[str]) -> str:
+        """Whether a value is one of some constants, which is looked up by hash."""
+        return f"{x} in ({', '.join(map(self.lit, items))})"
+
     def concat(self, *a: str) -> str:
         return "concat(" + ", ".join(a) + ")"
 
@@ -114,10 +120,6 @@ class Spark:
         """Characters of a text, so that taking the k-th doesn't walk over the text."""
         return f"split({x}, '')"
 
-    def run_of(self, x: str, chars: str, i: str, n: int) -> str:
-        """n characters from the i-th."""
-        return self.join(self.slice(chars, i, str(n)), "")
-
     def half_even(self, x: str, digits: int) -> str:
         return f"bround({x}, {digits})"
 
@@ -223,9 +225,6 @@ class Duck(Spark):
     def chars(self, x: str) -> str:
         return f"string_split({x}, '')"
 
-    def run_of(self, x: str, chars: str, i: str, n: int) -> str:
-        return self.sub(x, i, str(n))
-
     def half_even(self, x: str, digits: int) -> str:
         return f"round_even({x}, {digits})"
 
@@ -256,9 +255,48 @@ def severe(n: str) -> str:
     return f"cast(case when {n} >= 4 then 1.0 when {n} >= 2 then 0.6 when {n} = 1 then 0.25 else 0.0 end as double)"
 
 
-def hits(d: Spark, x: str, regexes: Iterable[str]) -> str:
+def needles(regex: str) -> list[str]:
+    """Texts in lower case one of which is in the lower-cased text wherever the pattern occurs; none if that isn't plain."""
+    try:
+        return _needles(_parser.parse(regex)) or []
+    except re.error:
+        return []
+
+
+def _needles(items: Iterable) -> list[str] | None:
+    found: list[list[str]] = []
+    run = ""
+    for op, value in [*items, (None, None)]:
+        if op is _constants.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if run:
+            found.append([run])
+        run = ""
+        if op is _constants.SUBPATTERN:
+            found.append(_needles(value[3]) or [])
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            found.append(_needles(value[2]) or [])
+        elif op is _constants.BRANCH:
+            each = [_needles(x) for x in value[1]]
+            found.append(sum(each, []) if all(each) else [])
+    return max((f for f in found if f and min(map(len, f)) >= 3), key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+
+def may(d: Spark, low: str, regexes: Iterable[str]) -> str:
+    """Whether any of the patterns can occur, by plain searches in the lower-cased text, which cost far less than a pattern."""
+    each = [needles(r) for r in regexes]
+    return "(" + " or ".join(d.contains(low, n) for n in dict.fromkeys(sum(each, []))) + ")" if all(each) else "true"
+
+
+def found(d: Spark, x: str, regex: str, low: str) -> str:
+    """Whether a pattern occurs; ``low`` is the text in lower case."""
+    return f"({may(d, low, [regex])} and {d.like(x, regex)})"
+
+
+def hits(d: Spark, x: str, regexes: Iterable[str], low: str = "") -> str:
     """How many of the patterns occur."""
-    return sum_of(f"cast({d.like(x, r)} as bigint)" for r in regexes)
+    return sum_of(f"cast({found(d, x, r, low) if low else d.like(x, r)} as bigint)" for r in regexes)
 
 
 def held(d: Spark, x: str, phrases: Iterable[str]) -> str:

@@ -149,7 +149,7 @@ def zipf(d: Spark) -> Steps:
 @signal("h07", "sentence_opener_pos")
 def openers(d: Spark) -> Steps:
     first = d.map("s6", "z_s", d.rstrip(f"lower({d.at(d.extract('z_s', r'[^' + chr(92) + 's]+'), '1')})", ".,;:!?"))
-    count = lambda words: d.size(d.filter("z_first", "z_x", d.has(d.arr(words), "z_x")))
+    count = lambda words: d.size(d.filter("z_first", "z_x", d.member("z_x", words)))
     return {
         "z_first": first, "ai": f"{count(L.AI_OPENERS)} / cast(nullif(n6, 0) as double)", "human": f"{count(L.HUMAN_OPENERS)} / cast(nullif(n6, 0) as double)",
         "z_step": ladder(("n6 < 5", 0), ("ai > 0.4", 40), ("ai > 0.25", 20)),
@@ -166,7 +166,7 @@ def word_lengths(d: Spark) -> Steps:
 
 @signal("h09", "char_ngram_profile")
 def char_trigrams(d: Spark) -> Steps:
-    steps = {"z_clean": d.replace("low", "[^a-z ]", ""), "z_chars": d.chars("z_clean"), "z_n": f"greatest({d.size('z_chars')} - 2, 0)", "z_tri": d.map(d.seq("z_n"), "z_i", d.run_of("z_clean", "z_chars", "z_i", 3))}
+    steps = {"z_clean": d.replace("low", "[^a-z ]", ""), "z_chars": d.chars("z_clean"), "z_n": f"greatest({d.size('z_chars')} - 2, 0)", "z_codes": d.map("z_chars", "z_c", "ascii(z_c)"), "z_tri": d.map(d.seq("z_n"), "z_i", f"{d.at('z_codes', 'z_i')} * 16384 + {d.at('z_codes', 'z_i + 1')} * 128 + {d.at('z_codes', 'z_i + 2')}")}
     steps |= word_counts(d, "z_tri", "z_n")
     entropy = f"log2(nullif(z_n, 0)) - {d.total(d.map('c', 'z_c', 'z_c * log2(z_c)'))} / nullif(z_n, 0)"
     return steps | {"entropy": f"({entropy}) / case when z_types > 1 then log2(greatest(z_types, 2)) else 1 end", "score": ladder(("z_n < 98", 0), ("entropy < 0.85", 25), ("entropy < 0.9", 10))}
@@ -201,7 +201,7 @@ def contractions(d: Spark) -> Steps:
 
 @signal("h13", "first_person")
 def first_person(d: Spark) -> Steps:
-    return {"ratio": f"{d.size(d.filter('u', 'z_w', d.has(d.arr(L.FIRST_PERSON), 'z_w')))} / cast(nullif(nu, 0) as double)", "score": ladder(("nu < 30", 0), ("ratio < 0.005", 20), ("ratio < 0.015", 10))}
+    return {"ratio": f"{d.size(d.filter('u', 'z_w', d.member('z_w', L.FIRST_PERSON)))} / cast(nullif(nu, 0) as double)", "score": ladder(("nu < 30", 0), ("ratio < 0.005", 20), ("ratio < 0.015", 10))}
 
 
 @signal("h14", "passive_voice")
@@ -212,8 +212,8 @@ def passive(d: Spark) -> Steps:
 @signal("h15", "adverb_density")
 def adverbs(d: Spark) -> Steps:
     return {
-        "z_ly": d.filter("u", "z_w", f"{d.ends('z_w', 'ly')} and {d.length('z_w')} > 3 and not {d.has(d.arr(L.NOT_ADVERBS), 'z_w')}"),
-        "ratio": f"{d.size('z_ly')} / cast(nullif(nu, 0) as double)", "strong": d.size(d.filter("z_ly", "z_w", d.has(d.arr(L.INTENSIFIERS), "z_w"))),
+        "z_ly": d.filter("u", "z_w", f"{d.ends('z_w', 'ly')} and {d.length('z_w')} > 3 and not {d.member('z_w', L.NOT_ADVERBS)}"),
+        "ratio": f"{d.size('z_ly')} / cast(nullif(nu, 0) as double)", "strong": d.size(d.filter("z_ly", "z_w", d.member("z_w", L.INTENSIFIERS))),
         "z_step": ladder(("nu < 30", 0), ("ratio > 0.06", 40), ("ratio > 0.04", 20)),
         "score": "cast(case when nu >= 30 and strong >= 2 then least(60, z_step + 20) else z_step end as double)",
     }
@@ -377,7 +377,8 @@ def staccato(d: Spark) -> Steps:
 
 def buzz_tokens(d: Spark, tokens: str, low: str) -> str:
     """Distinct buzzwords among word tokens and hyphenated words."""
-    both = d.distinct(d.concat(tokens, d.extract(low, r"\b\w+-\w+(?:-\w+)?\b")))
+    hyphened = f"case when {d.contains(low, '-')} then {low} else '' end"
+    both = d.distinct(d.concat(tokens, d.extract(hyphened, r"\b\w+-\w+(?:-\w+)?\b")))
     return d.intersect(both, d.arr(L.BUZZWORDS))
 
 

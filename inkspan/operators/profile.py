@@ -43,7 +43,7 @@ SOURCE_WORDS = 200
 
 def base(d: Spark) -> Steps:
     """aw letter words as written, lw in lower case, ss sentences, and what several elements share."""
-    per = lambda words: d.size(d.filter("lw", "z_w", d.has(d.arr(words), "z_w")))
+    per = lambda words: d.size(d.filter("lw", "z_w", d.member("z_w", words)))
     vowels = lambda x: d.size(d.extract(x, "[aeiouy]+"))
     silent = f"case when {d.ends('z_w', 'e')} and {d.length('z_w')} > 2 and not {d.like('z_w', '[aeiouy]e$')} then 1 else 0 end"
     first = lambda s: f"lower({d.at(d.extract(d.strip(s), '^[a-zA-Z]+'), '1')})"
@@ -58,7 +58,7 @@ def base(d: Spark) -> Steps:
         "k_function": per(FUNCTION), "k_sub": per(SUBORDINATING), "commas": d.length("text") + " - " + d.length("replace(text, ',', '')"),
         "letters": d.total(d.map("aw", "z_w", d.length("z_w"))), "syl": d.total(d.map("lw", "z_w", f"greatest(1, {vowels('z_w')} - {silent})")),
         "poly": d.size(d.filter("lw", "z_w", f"greatest(1, {vowels('z_w')} - {silent}) >= 3")),
-        "bigrams": d.map(d.seq("an - 1"), "z_i", d.join(d.slice("lw", "z_i", "2"), " ")), "bn": "greatest(an - 1, 0)",
+        "bigrams": d.map(d.seq("an - 1"), "z_i", f"concat({d.at('lw', 'z_i')}, ' ', {d.at('lw', 'z_i + 1')})"), "bn": "greatest(an - 1, 0)",
     }
     for name, a, n in (("w", "lw", "an"), ("f", "fw", d.size("fw")), ("b", "bigrams", "bn")):
         counts = D.word_counts(d, a, n)
@@ -70,9 +70,9 @@ def base(d: Spark) -> Steps:
 def elements(d: Spark) -> list[tuple[str, str, str, str, str | None]]:
     """(name, category, value, weight, condition of "more" or None for a metric)."""
     an, sn = "cast(nullif(an, 0) as double)", "cast(sn as double)"
-    share = lambda words: f"{d.size(d.filter('lw', 'z_w', d.has(d.arr(words), 'z_w')))} / {an}"
+    share = lambda words: f"{d.size(d.filter('lw', 'z_w', d.member('z_w', words)))} / {an}"
     sents = lambda cond: f"{d.size(d.filter('ss', 'z_s', cond))} / {sn}"
-    openers = lambda words: f"{d.size(d.filter('fw', 'z_f', d.has(d.arr(words), 'z_f')))} / {sn}"
+    openers = lambda words: f"{d.size(d.filter('fw', 'z_f', d.member('z_f', words)))} / {sn}"
     chars = lambda c: f"(({d.length('text')} - {d.length(f'replace(text, {d.lit(c)}, {d.lit(str())})')}) / {len(c)})"
     lens = lambda cond: f"{d.size(d.filter('sl', 'z_l', cond))} / {sn}"
     fn = f"{d.size('fw')}"
@@ -120,7 +120,7 @@ def elements(d: Spark) -> list[tuple[str, str, str, str, str | None]]:
     more("parenthetical_usage", "idiosyncratic", f"{chars('(')} / {sn}", 0.3, "v > 0")
     more("rhetorical_question_rate", "idiosyncratic", sents(d.ends(d.strip("z_s"), "?")), 1, "v >= 0.05")
     for name, r, at, over in (("first_person_usage", FIRST, 0.03, 0.1), ("second_person_usage", SECOND, 0.02, 0.1), ("third_person_usage", THIRD, 0.02, 0.08)):
-        more(name, "idiosyncratic", f"{d.size(d.filter('ut', 'z_w', d.has(d.arr(r), 'z_w')))} / {an}", over, f"v >= {at}")
+        more(name, "idiosyncratic", f"{d.size(d.filter('ut', 'z_w', d.member('z_w', r)))} / {an}", over, f"v >= {at}")
     more("figurative_language_markers", "idiosyncratic", f"{d.count('text', FIGURATIVE)} / {sn}", 0.15, "v >= 0.05")
     more("repetition_rate", "idiosyncratic", f"{d.size(d.filter('b_c', 'z_c', 'z_c >= 3'))} / cast(greatest(bn, 1) as double)", 0.02, "v > 0")
     more("vocative_usage", "idiosyncratic", f"{d.count('text', VOCATIVE)} / {sn}", 0.1, "v > 0")
@@ -130,7 +130,7 @@ def elements(d: Spark) -> list[tuple[str, str, str, str, str | None]]:
     more("discourse_marker_rate", "idiosyncratic", share(DISCOURSE), 0.02, "v >= 0.005")
     more("hedging_language_rate", "voice_tone", share(HEDGING), 0.02, "v >= 0.005")
     more("intensifier_rate", "voice_tone", share(INTENSIFYING), 0.02, "v >= 0.005")
-    more("transition_word_rate", "voice_tone", f"{d.size(d.filter('lw', 'z_w', d.has(d.arr(TRANSITIONAL), 'z_w')))} / {sn}", 0.2, "v >= 0.05")
+    more("transition_word_rate", "voice_tone", f"{d.size(d.filter('lw', 'z_w', d.member('z_w', TRANSITIONAL)))} / {sn}", 0.2, "v >= 0.05")
     wps, spw, lpw, spx = f"an / {sn}", f"syl / {an}", f"letters / {an} * 100", f"{sn} / {an} * 100"
     metric("flesch_kincaid_grade", "idiosyncratic", f"0.39 * ({wps}) + 11.8 * ({spw}) - 15.59", 20)
     metric("flesch_reading_ease", "idiosyncratic", f"206.835 - 1.015 * ({wps}) - 84.6 * ({spw})", 100)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from inkspan.functions import lexicons as L
-from inkspan.functions.dialect import Spark, held, hits, ladder, severe
+from inkspan.functions.dialect import Spark, found, held, hits, ladder, may, severe
 from inkspan.operators import document as D
 
 Steps = dict[str, str]
@@ -21,25 +21,26 @@ def scores(d: Spark) -> Steps:
     steps["d1_buzzwords"] = f"least(90, 30 * z_k1) * {severe('z_k1')}"
     steps["d2_uniform"] = "cast(case when uniform > 30 then uniform else 0 end as double)"
     for name, k, most, each, patterns in (("d3_hedges", "z_k3", 60, 20, L.HEDGES), ("d4_transitions", "z_k4", 70, 35, L.TRANSITIONS)):
-        steps[k] = hits(d, "sentence", patterns)
+        steps[k] = hits(d, "sentence", patterns, "z_low")
         steps[name] = f"least({most}, {each} * {k}) * {severe(k)}"
     for k, pattern in (("a", L.NOT_ONLY), ("b", L.IT_IS_TO), ("c", L.TRIAD), ("d", L.SANDWICH)):
-        steps[f"z_5{k}"] = f"cast({d.like('sentence', pattern)} as bigint)"
+        steps[f"z_5{k}"] = f"cast({found(d, 'sentence', pattern, 'z_low')} as bigint)"
     half = f"lower({d.join(d.slice('z_ws', '1', 'cast(floor(z_nw / 2.0) as bigint)'), ' ')})"
     steps["z_5e"] = f"case when z_nw > 12 and {d.count(half, L.FRONT_LOADED)} >= 2 then 1 else 0 end"
     steps["z_k5"] = "z_5a + z_5b + z_5c + z_5d + z_5e"
     steps["d5_structure"] = f"(25 * z_5a + 15 * z_5b + 15 * z_5c + 25 * z_5d + 10 * z_5e) * {severe('z_k5')}"
-    one, two = d.extract("z_low", L.DUAL, 1), d.extract("z_low", L.DUAL, 2)
+    paired = f"case when {may(d, 'z_low', [L.DUAL])} then z_low else '' end"
+    one, two = d.extract(paired, L.DUAL, 1), d.extract(paired, L.DUAL, 2)
     steps |= {"z_6a": one, "z_6b": two}
     both = f"{d.has(d.arr(L.DUAL_ADJECTIVES), d.at('z_6a', 'z_i'))} and {d.has(d.arr(L.DUAL_ADJECTIVES), d.at('z_6b', 'z_i'))}"
     steps["d6_dual_adjectives"] = f"cast(least(50, 25 * {d.size(d.filter(d.seq(d.size('z_6a')), 'z_i', both))}) as double)"
-    steps["d7_trailing"] = ladder((d.like("sentence", L.TRAILING), 20))
+    steps["d7_trailing"] = ladder((found(d, "sentence", L.TRAILING, "z_low"), 20))
     for name, value, patterns in (("d8_declarations", 35, L.DECLARATIONS), ("d9_dichotomies", 30, L.DICHOTOMIES), ("d10_expositions", 30, L.EXPOSITIONS)):
-        steps[name] = ladder((f"{hits(d, 'sentence', patterns)} > 0", value))
-    steps["z_k11"] = d.count("sentence", L.ANY_PHRASE)
+        steps[name] = ladder((f"{hits(d, 'sentence', patterns, 'z_low')} > 0", value))
+    steps["z_k11"] = f"case when {may(d, 'z_low', [L.ANY_PHRASE])} then {d.count('sentence', L.ANY_PHRASE)} else 0 end"
     steps["d11_phrases"] = d.half_even(f"least(90, 25 * z_k11) * {severe('z_k11')}", 1)
     for model in L.SIGNATURE_PHRASES:
-        steps[f"z_12_{model}"] = f"{held(d, 'z_low', L.SIGNATURE_PHRASES[model])} + {hits(d, 'sentence', L.SIGNATURE_PATTERNS[model])}"
+        steps[f"z_12_{model}"] = f"{held(d, 'z_low', L.SIGNATURE_PHRASES[model])} + {hits(d, 'sentence', L.SIGNATURE_PATTERNS[model], 'z_low')}"
     steps["d12_fingerprint"] = "cast(15 * (" + " + ".join(f"z_12_{m}" for m in L.SIGNATURE_PHRASES) + ") as double)"
     names = [n for n in steps if n.startswith("d")]
     steps["z_hits"] = "(" + " + ".join(f"case when {n} > 0 then 1 else 0 end" for n in names) + ")"
