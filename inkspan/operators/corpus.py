@@ -419,24 +419,33 @@ def e11(d: Spark) -> str:
 CANDIDATES = 6
 
 
-def signals(d: Spark) -> str:
+def signals(d: Spark, labelled: bool = True) -> str:
     """CTEs ending in z_sig (doc_id, label, place, signal, score): what a re-scoring needs, worked out once."""
+    table, label = (LABELLED, "join {labels} l on e.doc_id = l.doc_id") if labelled else ("{documents}", "join (select 0 as quality) l on true")
     steps, names = S.signal_steps(d)
     each = ("array(" if d.name == "spark" else "[") + ", ".join(f"{n}__score" for n in names) + (")" if d.name == "spark" else "]")
-    doc = D.layered(d, D.needed(D.base(d) | steps | {"z_all": each}, "z_all"), LABELLED, "doc_id, text", f"text is not null and {d.strip('text')} <> ''")
-    return f"{doc}, z_ex as ({d.explode('z_end', 'doc_id', 'z_all', 'score', 'place')}), z_sig as (select e.doc_id as doc_id, l.quality as label, e.place as place, {d.at(d.arr(names), 'place')} as signal, cast(e.score as decimal(18, 6)) as score from z_ex e join {{labels}} l on e.doc_id = l.doc_id)"
+    doc = D.layered(d, D.needed(D.base(d) | steps | {"z_all": each}, "z_all"), table, "doc_id, text", f"text is not null and {d.strip('text')} <> ''")
+    return f"{doc}, z_ex as ({d.explode('z_end', 'doc_id', 'z_all', 'score', 'place')}), z_sig as (select e.doc_id as doc_id, l.quality as label, e.place as place, {d.at(d.arr(names), 'place')} as signal, cast(e.score as decimal(18, 6)) as score from z_ex e {label})"
 
 
 def e09(d: Spark) -> str:
     return signals(d) + " select doc_id, signal, round(cast(score as double), 4) as score from z_sig where score > 0"
 
 
+def c11(d: Spark) -> str:
+    """C11: how severe a document's signals are."""
+    return signals(d, False) + " select doc_id, signal, round(cast(score as double), 4) as score, case when score >= 60 then 'high' when score >= 30 then 'medium' else 'low' end as severity from z_sig where score > 0"
+
+
+SCALE = "cast(case when candidate = 0 then 1.0 when (place + candidate) % 3 = 0 then 0.5 when (place * candidate + candidate) % 3 = 1 then 1.5 else 1.0 end as decimal(4, 2))"
+
+
 def rescored(d: Spark) -> str:
     """E5: CTEs ending in z_re (candidate, doc_id, label, score): C1 again under each candidate's weights."""
     ids = "explode(sequence(0, {0}))" if d.name == "spark" else "unnest(range(0, {0} + 1))"
     names = S.signal_steps(d)[1]
     weight = f"cast({d.at('[' + ', '.join(str(S.weight_of(n)) for n in names) + ']' if d.name == 'duckdb' else 'array(' + ', '.join(str(S.weight_of(n)) for n in names) + ')', 'place')} as decimal(6, 3))"
-    scale = "cast(case when candidate = 0 then 1.0 when (place + candidate) % 3 = 0 then 0.5 when (place * candidate + candidate) % 3 = 1 then 1.5 else 1.0 end as decimal(4, 2))"
+    scale = SCALE
     on = "cast(case when score > 0 then 1 else 0 end as bigint)"
     sums = f"sum(w * score) as ws, sum(case when score > 0 then w else 0 end) as w, sum({on} * case when w0 >= 0.3 then 1 else 0 end) as z_some, sum({on} * case when w0 >= 0.7 then 1 else 0 end) as strong, sum(case when score > 0 and w0 >= 0.7 then score else 0 end) as strong_sum"
     value = "least(100, coalesce(cast(ws as double) / nullif(cast(w as double), 0), 0) + least(15, 3 * greatest(0, z_some - 2)) + case when strong >= 3 and cast(strong_sum as double) / strong > 30 then 5 else 0 end)"
@@ -471,6 +480,13 @@ def e12(d: Spark) -> str:
     return "select doc_id, quality from (select doc_id, quality, row_number() over (partition by quality order by md5(cast(doc_id + 42 as varchar(20))), doc_id) as place from {labels}) x where place <= 20"
 
 
+def e13(d: Spark) -> str:
+    """Weights before and after the search, by signal."""
+    head, _, _ = e07(d).rpartition(" select candidate, separation")
+    names = " union all ".join(f"select {d.lit(n)} as signal, cast({S.weight_of(n)} as decimal(6, 3)) as old_weight, {k + 1} as place" for k, n in enumerate(S.SCORED))
+    return f"{head}, z_top as (select candidate from (select candidate, row_number() over (order by separation desc, candidate) as z_k from z_sep) y where z_k = 1), z_was as ({names}) select signal, cast(old_weight as double) as old_weight, cast(old_weight * {SCALE} as double) as new_weight, cast(old_weight * {SCALE} - old_weight as double) as delta from z_was join z_top on true"
+
+
 # --- R, V: deterministic rewriting and compliance ---
 #: Plainer words, in order; openings that say nothing; words and constructions that don't comply.
 REPLACED = {"utilize": "use", "leverage": "use", "facilitate": "help", "implement": "build", "robust": "strong", "comprehensive": "full", "furthermore": "also", "moreover": "also", "additionally": "also", "consequently": "so", "nevertheless": "still", "enhance": "improve", "optimize": "improve", "streamline": "simplify", "innovative": "new", "holistic": "complete"}
@@ -523,6 +539,6 @@ QUERIES = {
     "s21_same_name": s21, "s22_optional_predicates": s22, "s23_parent_children": s23, "s24_config_sections": s24, "s25_settings": s25, "s26_snapshots": s26, "s27_history": s27, "s28_corpus_info": s28,
     "t01_token_and_sentence_counts": t_counts, "t05_sentences": t05, "t11_chunks": t11, "t13_syllables": t13, "t15_clean": t15, "t16_content_hash": t16, "t18_boilerplate": t18, "t19_ngrams": t19,
     "l03_repetition_density": l03, "l05_ngram_perplexity": l05, "l06_ngram_burstiness": l06, "l07_zipf_v2": l07, "l08_mattr_v2": l08, "l09_ttr_variance": l09, "l10_trigram_model": l10, "l11_genre_baselines": l11, "h42_semantic_monotony": h42,
-    "n02_cosine": n02, "n04_divergence": n04, "p01_exact_groups": p01, "p03_exact_containment": contained, "c12_source_blending": c12, "e01_label_summary": e01, "e02_discrimination": e02, "e03_threshold_sweep": e03, "e05_rescored": e05, "e06_separation": e06, "e07_weight_search": e07, "e09_signals": e09, "e11_variants": e11, "e12_stratified_subset": e12,
+    "n02_cosine": n02, "n04_divergence": n04, "p01_exact_groups": p01, "p03_exact_containment": contained, "c12_source_blending": c12, "e01_label_summary": e01, "e02_discrimination": e02, "e03_threshold_sweep": e03, "e05_rescored": e05, "e06_separation": e06, "e07_weight_search": e07, "e13_weight_report": e13, "c11_severity": c11, "e09_signals": e09, "e11_variants": e11, "e12_stratified_subset": e12,
     "r01_rewrite": r01, "v02_compliance": v02, "v03_profile_compliance": v03, "k01_consolidate": k01,
 }

@@ -196,13 +196,26 @@ def convergence(d: Spark) -> str:
 
 
 def completeness(d: Spark) -> str:
-    """A5: share of converged elements, gated tier, and per category how many."""
+    """A5: share of converged elements, the highest tier reached (bronze needs 20,000 words as well) and the next one."""
     inner = convergence(d).replace("select source, element, cast(max(seq)", "select source, element, max(category) as category, max(words_upto) as words, cast(max(seq)")
     head, _, tail = inner.rpartition("\n      select source")
     return f"""{head}, z_conv as (select source{tail}),
       z_all as (select source, sum(case when converged then 1 else 0 end) as converged, count(*) as total, max(words) as words from z_conv group by source)
       select source, cast(converged as bigint) as converged, total, cast(floor(100.0 * converged / total) as bigint) as pct,
-      case when floor(100.0 * converged / total) >= 90 then 'gold' when floor(100.0 * converged / total) >= 75 then 'silver' when floor(100.0 * converged / total) >= 50 and words >= 20000 then 'bronze' else 'none' end as tier from z_all"""
+      case when floor(100.0 * converged / total) >= 90 then 'gold' when floor(100.0 * converged / total) >= 75 then 'silver' when floor(100.0 * converged / total) >= 50 and words >= 20000 then 'bronze' else 'starter' end as tier,
+      case when words < 20000 or floor(100.0 * converged / total) < 50 then 'bronze' when floor(100.0 * converged / total) < 75 then 'silver' when floor(100.0 * converged / total) < 90 then 'gold' end as next_tier from z_all"""
+
+
+def categories(d: Spark) -> str:
+    """A5 by category: complete, good (half or more) or needs more."""
+    head, _, _ = completeness(d).rpartition(",\n      z_all as")
+    return f"{head} select source, category, sum(case when converged then 1 else 0 end) as converged, count(*) as total, case when sum(case when converged then 1 else 0 end) = count(*) then 'complete' when sum(case when converged then 1 else 0 end) >= 0.5 * count(*) then 'good' else 'needs_more' end as status from z_conv group by source, category"
+
+
+def best_format(d: Spark) -> str:
+    """Of several experiments (here the languages of documents) the one whose texts come nearest to the profile, by element."""
+    head, _, _ = gaps(d).rpartition(",\n      z_rank as")
+    return f"{head}, z_exp as (select s.element as element, t.lang as lang, {mean4('s.similarity')} as score from z_sim s join {{documents}} t on s.doc_id = t.doc_id group by s.element, t.lang), z_best as (select *, row_number() over (partition by element order by score desc, lang) as z_k from z_exp) select element, lang, score from z_best where z_k = 1"
 
 
 def milestone(d: Spark) -> str:

@@ -128,10 +128,10 @@ def signal_steps(d: Spark) -> tuple[Steps, list[str]]:
 OUTSIDE = {"compression_ratio": "x_compression_ratio", "hollow_informality": "x_hollow_informality", "semantic_monotony": "x_semantic_monotony", "chunked_consistency": "x_chunked_consistency"}
 
 
-def analysis(d: Spark, table: str = "{documents}", outside: dict[str, str] | None = None) -> str:
+def analysis(d: Spark, table: str = "{documents}", outside: dict[str, str] | None = None, detail: bool = False) -> str:
     """The whole score of every document: tiers, composite, genre damping, confidence band and class. Blank texts score 0.
 
-    ``outside`` has further document signals as columns of the table.
+    ``outside`` has further document signals as columns of the table; ``detail`` (C17) adds how the score comes about.
     """
     steps, _ = signal_steps(d)
     steps |= {"para_texts": "paras"} | D.genre_steps(d)
@@ -170,5 +170,7 @@ def analysis(d: Spark, table: str = "{documents}", outside: dict[str, str] | Non
     more, at = D.chained(end, "z_w", "z_e")
     chain += more
     r = lambda x: f"round(cast({x} as double), 4)"
-    blank = f"select doc_id, 0 as sentence_score, 0 as paragraph_score, 0 as document_score, 0 as signal_count, 'general' as genre, 0 as overall_score, 0 as low, 0 as high, 'clean' as category, 'high' as confidence from {table} where text is null or {d.strip('text')} = ''"
-    return f"{chain} {blank} union all select doc_id, {r('s_score')} as sentence_score, {r('p_score')} as paragraph_score, {r('t_score')} as document_score, cast(c4_signals as bigint) as signal_count, genre, overall_score, {r('greatest(0, damped - margin)')} as low, {r('least(100, damped + margin)')} as high, category, confidence from {at}"
+    parts = {"sentence_weighted": "0.45 * s_score", "paragraph_weighted": "0.30 * p_score", "document_weighted": "0.25 * t_score", "agreement_bonus": "c4_agree", "density_bonus": "c4_dense", "raw_composite": "c4_score", "genre_dampening": "c4_score - damped"} if detail else {}
+    more = "".join(f", {r(e)} as {n}" for n, e in parts.items())
+    blank = f"select doc_id, 0 as sentence_score, 0 as paragraph_score, 0 as document_score, 0 as signal_count, 'general' as genre, 0 as overall_score, 0 as low, 0 as high, 'clean' as category, 'high' as confidence{"".join(f", 0 as {n}" for n in parts)} from {table} where text is null or {d.strip('text')} = ''"
+    return f"{chain} {blank} union all select doc_id, {r('s_score')} as sentence_score, {r('p_score')} as paragraph_score, {r('t_score')} as document_score, cast(c4_signals as bigint) as signal_count, genre, overall_score, {r('greatest(0, damped - margin)')} as low, {r('least(100, damped + margin)')} as high, category, confidence{more} from {at}"

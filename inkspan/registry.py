@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.functions.dialect import Duck, Spark
-from inkspan.operators import corpus, document, guide, profile, sentence, udfs
+from inkspan.operators import corpus, document, guide, profile, sentence, udfs, vectors
 from inkspan.plans.staging import settled
 from inkspan.sources import readers
 from inkspan.streaming import stateful
@@ -58,14 +58,15 @@ for _name in _SENTENCE:
 add_sql("c2_weighted_overall", lambda d: sentence.units(d, "{documents}", "doc_id") + " select doc_id, round(overall, 6) as overall, cast(sentences as bigint) as sentences from z_units")
 add_sql("c6_genre", lambda d: document.statement(d, document.genre_steps(d), {"genre": "genre", "best": "round(cast(g_best as double), 6)"}, "{documents}"))
 add_sql("analyze", sentence.analysis)
+add_sql("c17_detail", lambda d: sentence.analysis(d, detail=True))
 
 for _name, _make in {
-    "v01_profile_elements": profile.element_query, "a01_stack_resolution": profile.stacked, "a02_corpus_average": profile.averaged, "a03_convergence": profile.convergence, "a05_completeness": profile.completeness,
+    "v01_profile_elements": profile.element_query, "a01_stack_resolution": profile.stacked, "a02_corpus_average": profile.averaged, "a03_convergence": profile.convergence, "a05_completeness": profile.completeness, "a05_categories": profile.categories, "e10_best_format": profile.best_format,
     "a06_starter_milestone": profile.milestone, "f03_fidelity": profile.fidelity, "f04_lowest_gaps": profile.gaps, "p08_profile_similarity": profile.similarity,
 }.items():
     add_sql(_name, _make)
 
-for _name, _make in (corpus.QUERIES | guide.QUERIES).items():
+for _name, _make in (corpus.QUERIES | guide.QUERIES | vectors.QUERIES).items():
     add_sql(_name, _make)
 
 

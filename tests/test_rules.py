@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import unicodedata
 
 import duckdb
 import pytest
 
-from inkspan.functions import guidance
+from inkspan.functions import dialect, guidance
+from inkspan.functions import lexicons as L
 from inkspan.functions.dialect import Duck
-from inkspan.operators import corpus, document, guide, profile, sentence, udfs
+from inkspan.operators import corpus, document, guide, profile, sentence, udfs, vectors
 from inkspan.sources import readers
 
 FILL = " ".join(["apple"] * 200)
@@ -225,3 +227,45 @@ def test_settings_and_boilerplate():
     assert run(corpus.s25(Duck()), [], events=events) == [(1, "default", "7", "default")]
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert run(corpus.t18(Duck()), [(1, "* Sure, here:\nThe  Cat\n"), (2, "Here"), (3, "Cats\nrest")]) == [(1, True, digest("the cat")), (2, False, digest("here")), (3, False, digest("cats rest"))]
+
+
+def test_topics_of_paragraphs():
+    texts = ["red cat cat and the dog", "red dog dog", "x", "blue bird sings red"]
+    turns = " union all ".join(f"select 1 as conv_id, {k} as turn, '{t}' as text" for k, t in enumerate(texts))
+    stop = set(profile.FUNCTION)
+    words = [[w for w in t.split() if len(w) > 1 and w not in stop] for t in texts]
+    terms = sorted({w for ws in words for w in ws})
+    idf = {t: math.log((1 + len(words)) / (1 + sum(t in ws for ws in words))) + 1 for t in terms}
+    rows = [[ws.count(t) * idf[t] for t in terms] for ws in words]
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    unit = [[x / norm(r) for x in r] if any(r) else r for r in rows]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    mean = [sum(u[k] for u in unit) / len(unit) for k in range(len(terms))]
+    drift = sum(1 - dot(a, b) for a, b in zip(unit[:-1], unit[1:], strict=True)) / (len(unit) - 1)
+    coherence = sum(dot(u, mean) / norm(mean) for u in unit) / len(unit)
+    weights = sorted((sum(u[k] for u in unit) for k in range(len(terms))), reverse=True)
+    found = run(vectors.topics(Duck()), [], conversations=turns)
+    assert [r[0] for r in found] == [1] and found[0][1:] == pytest.approx([drift, coherence, sum(weights[: max(1, len(terms) // 5)]) / sum(weights)], abs=1e-6)
+
+
+def test_detail_adds_up():
+    sql = sentence.analysis(Duck(), detail=True)
+    row = run(sql, [(1, "Furthermore, it is important to leverage robust, seamless, and holistic tools. Overall, we delve into the realm. " * 6)])[0]
+    parts, raw, damp = row[11:16], row[16], row[17]
+    assert raw == pytest.approx(min(100, sum(parts)), abs=1e-3) and row[6] == pytest.approx(raw - damp, abs=0.06) and raw > 20
+
+
+def test_plain_searches_never_hide_a_pattern():
+    r = random.Random(2)
+    patterns = [L.NOT_ONLY, L.IT_IS_TO, L.TRIAD, L.SANDWICH, L.DUAL, L.TRAILING, L.ANY_PHRASE, *L.HEDGES, *L.TRANSITIONS, *L.DECLARATIONS, *L.DICHOTOMIES, *L.EXPOSITIONS, *(p for ps in L.SIGNATURE_PATTERNS.values() for p in ps)]
+    words = sorted({w for p in patterns for n in dialect.needles(p) for w in n.split()} | {"the", "a", "cat", "and", "to", "it's", "don't", "is", "not"})
+    texts = [" ".join(r.choice(words).capitalize() if r.random() < 0.2 else r.choice(words) for _ in range(r.randrange(2, 14))) + r.choice([".", ", and cat", ", resting."]) for _ in range(4000)]
+    texts += ["It's not about cats, it's about dogs", "HERE'S THE THING", "Stop thinking and start doing", "a wave of sadness", "Not only cats but also dogs"]
+    hit = 0
+    for p in patterns:
+        need = dialect.needles(p)
+        for t in texts:
+            if re.search(p, t, re.ASCII):
+                hit += 1
+                assert not need or any(n in t.lower() for n in need), (p, t)
+    assert hit > 1000 and dialect.needles(r"\b(the|a)\s+\w+") == [] and dialect.needles("ab?c*|def") == []
