@@ -50,6 +50,19 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of a batch that goes to a Python worker, unless the session says otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """``df``, read by Python workers in small batches: texts are long, and Spark's 10,000 rows would be held several times over."""
+    conf = df.sparkSession.conf
+    for key, value in BATCH.items():
+        if conf.get(key, None) is None:
+            conf.set(key, str(value))
+    return df
+
+
 def crc32_mod(col: Column, n: int) -> Column:
     """crc32 of a value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -103,4 +116,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
     """
     chosen = labels.where((crc32_mod(F.col("doc_id"), 5) != 0) & F.col(column).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
+    return narrow(docs).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import crc32_mod, labelled_sample, text_slices, words_of
+from inkspan.llm.common import crc32_mod, labelled_sample, narrow, text_slices, words_of
 
 BUCKETS, DIM, NONZERO, WINDOW = 8192, 32, 2, 2
 #: Most labelled rows to learn from, hidden units, passes and step of the optimiser; documents under THRESHOLD go.
@@ -104,7 +104,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(table[at, d]) for d in range(DIM))], ["at", *(f"d{d}" for d in range(DIM))])
 
     names = [f"d{d}" for d in range(DIM)]
-    sums = docs.select("text").mapInArrow(run, "at int, " + ", ".join(f"{n} long" for n in names)).groupBy("at").agg(*(F.sum(n).alias(n) for n in names))
+    sums = narrow(docs).select("text").mapInArrow(run, "at int, " + ", ".join(f"{n} long" for n in names)).groupBy("at").agg(*(F.sum(n).alias(n) for n in names))
     table = np.zeros((BUCKETS, DIM), np.float64)
     for r in sums.collect():
         table[r["at"]] = r[1:]
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], threshold:
         for batch in text_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_probability(batch, shared.value))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    out = narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -205,4 +205,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return narrow(docs).mapInArrow(run, docs.schema)

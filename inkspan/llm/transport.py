@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from inkspan.llm.common import text_slices
+from inkspan.llm.common import narrow, text_slices
 
 PACKET, SYNC = 188, 0x47
 FRAME = 576
@@ -192,7 +192,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 out.append((doc, len(data), media, s.timestamps, s.random_access, s.errors))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32()), strict=True)], MEDIA.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
+    return narrow(docs).select("doc_id", "text").mapInArrow(run, MEDIA)
 
 
 def from_media(media: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def from_media(media: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(DIGEST.fieldNames(), r, strict=True)) for r in out])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return narrow(media).select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
 
 
 def digest(doc: int | None, size: int, media: bytes) -> tuple:
@@ -228,4 +228,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 out.append(digest(doc, len(data), mux(pad(data))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], DIGEST.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return narrow(docs).select("doc_id", "text").mapInArrow(run, DIGEST)
