@@ -8,8 +8,9 @@ The result is exact. Steps:
 2. In one order of all shingles (those in one document first, else by hash), two sets with a similarity of 0.8 share a
    member among the first fifth of each. A shingle of one document can't be it, so documents with a fifth of their own
    drop out; the others give the shared members of their first fifth as keys. Documents that share a key are chained to
-   the key's first; components of these chains are families outside which no link can lie. Rows are 16 bytes and grow
-   with the documents: no pairs.
+   the key's first: at once within a block of ``KEYS`` rows, so that a key of very many documents is shuffled once for
+   each block and not for each document, then over all. Components of these chains are families outside which no link
+   can lie. Rows are 16 bytes and grow with the documents: no pairs.
 3. Documents that belong to a family are read again and give their arrays, one for each distinct set. A small family is
    one tile. A large one is cut into size bands (a factor of 1.25, so that only neighbouring bands can link) and the
    bands into strips; each pair of strips is a tile. Tiles are bounded in documents and in shingles.
@@ -37,14 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import stage, text_slices, words_of
-from inkspan.llm.components import components
+from inkspan.llm.common import narrow, stage, text_slices, unstage, words_of
+from inkspan.llm.components import components, solve, thinned
 
 WORDS = 5
 #: Links need NUMERATOR * overlap >= DENOMINATOR-th of the union: 100 * overlap >= 80 * union.
 PERCENT = 80
 #: Shingles of a block that is sorted at once; bits that tell shared shingles; shingles that one task compares.
 BLOCK, SHARED_BITS, RANGE = 1_500_000, 1 << 27, 2_000_000
+#: Rows of keys that a worker reduces at once.
+KEYS = 500_000
 _SHIFT = np.uint64(64 - SHARED_BITS.bit_length() + 1)
 #: Most sets and most shingles of a strip; bits of the filter.
 STRIP_SETS, STRIP_SHINGLES, FILTER_BITS = 2048, 4_000_000, 1 << 26
@@ -159,10 +162,11 @@ def shared_shingles(docs: DataFrame) -> np.ndarray:
         if number is not None:
             yield done(number, once, more)
 
-    rows = docs.select("text").mapInArrow(runs, "range int, once binary, more binary").repartition(ranges, "range").sortWithinPartitions("range")
+    rows = narrow(docs).select("text").mapInArrow(runs, "range int, once binary, more binary").repartition(ranges, "range").sortWithinPartitions("range")
     out = np.zeros(ranges * width // 8, np.uint8)
-    for number, bits in rows.mapInArrow(compare, "range int, bits binary").toLocalIterator():
-        out[number * width // 8 : (number + 1) * width // 8] = np.frombuffer(bits, np.uint8)
+    for batch in rows.mapInArrow(compare, "range int, bits binary").toArrow().to_batches():
+        for number, bits in zip(batch.column("range").to_pylist(), batch.column("bits"), strict=True):
+            out[number * width // 8 : (number + 1) * width // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
@@ -170,7 +174,20 @@ def families(docs: DataFrame) -> DataFrame:
     """(h1, family) for every set that may have a partner: components of shared prefix members."""
     shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs))
 
+    def reduced(key: np.ndarray, h1: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of a block, one row (key, h1) for each key and, as an edge, what the key joins within the block."""
+        order = np.lexsort((h1, key))
+        key, h1 = key[order], h1[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        first = h1[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        node, root = solve(h1, first)
+        own = node != root
+        x, y = np.concatenate((key[new], node[own])), np.concatenate((h1[new], root[own]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x)) >= new.sum()), pa.array(x), pa.array(y)], ["edge", "x", "y"])
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in text_slices(batches):
             seen: dict[int, np.ndarray] = {}
             for members in shingle_sets(batch.column("text")):
@@ -181,13 +198,19 @@ def families(docs: DataFrame) -> DataFrame:
             if seen:
                 sizes = np.fromiter(map(len, seen.values()), np.int64, len(seen))
                 key = np.concatenate(list(seen.values())).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.fromiter(seen, np.int64, len(seen)), sizes))], ["key", "h1"])
+                held.append(np.stack((key, np.repeat(np.fromiter(seen, np.int64, len(seen)), sizes))))
+                size += len(key)
+            if size >= KEYS:
+                yield from reduced(*np.concatenate(held, 1))
+                held, size = [], 0
+        if size:
+            yield from reduced(*np.concatenate(held, 1))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and h1: each is joined to the first of its key. Memory: one row beside the batch."""
         last_key, leader = None, None
         for batch in batches:
-            key, h1 = batch.column("key").to_numpy(), batch.column("h1").to_numpy()
+            key, h1 = batch.column("x").to_numpy(), batch.column("y").to_numpy()
             if not len(key):
                 continue
             new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
@@ -197,11 +220,14 @@ def families(docs: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack((h1, first), 1)[h1 != first], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    spark = docs.sparkSession
-    rows = docs.select("text").mapInArrow(keys, "key long, h1 long")
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "h1")
-    found = components(rows.mapInArrow(chain, "a long, b long"))
-    return stage(found.select(F.col("node").alias("h1"), F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct()), "families")
+    rows = stage(narrow(docs).select("text").mapInArrow(keys, "edge boolean, x long, y long"), "keys")
+    shared.destroy()
+    chained = thinned(rows.where("not edge").select("x", "y").repartition("x").sortWithinPartitions("x", "y"), chain)
+    found = components(chained.unionByName(thinned(rows.where("edge").select("x", "y"))), thin=False)
+    out = stage(found.select(F.col("node").alias("h1"), F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("h1"), F.col("root").alias("family")).distinct()), "families")
+    for old in (rows, found):
+        unstage(old)
+    return out
 
 
 def filter_of(ids: DataFrame, column: str) -> np.ndarray:
@@ -215,7 +241,7 @@ def filter_of(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """doc_id, n, fingerprint of every row; the array too where the filter knows the set, once for each slice."""
+    """doc_id, n, fingerprint of every row, staged; the array too where the filter knows the set, once for each slice."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +258,9 @@ def sketches(docs: DataFrame, known: np.ndarray) -> DataFrame:
                 arrays.append(members.tobytes() if hit else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(arrays, pa.binary())], ["doc_id", "n", "h1", "h2", "members"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, members binary")
+    out = stage(narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, members binary"), "sketches")
+    shared.destroy()
+    return out
 
 
 @dataclass
@@ -330,22 +358,28 @@ def tiles(sets: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach, itself included) for every row."""
+    return _classes(docs)[0]
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The classes, and the staged tables that they are read from."""
     family = families(docs)
-    found = stage(sketches(docs, filter_of(family, "h1")), "sketches")
+    found = sketches(docs, filter_of(family, "h1"))
     reps = found.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = stage(reps, "reps")
-    # What is dealt out is planned on slim rows; arrays are joined last and move twice.
-    slim = stage(found.where("members is not null and doc_id is not null").select("h1", "h2", "n").distinct().join(family, "h1").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), "slim")
+    # What is dealt out is planned on slim rows; arrays are joined last and move twice. An array may stand on a row without
+    # a doc_id, when a slice began with that copy; sets of which all rows are such have no rep and drop out here.
+    slim = stage(found.where("members is not null").select("h1", "h2", "n").distinct().join(family, "h1").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]), "slim")
     planned = stage(tiles(slim), "tiles")
-    spark = docs.sparkSession
     dealt = found.where("members is not null").select("h1", "h2", "members").join(planned, ["h1", "h2"]).select("tile", "rep", "side", "members")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile", "rep")
-    roots = components(dealt.mapInArrow(_forests, "a long, b long"))
+    roots = components(thinned(dealt.repartition("tile").sortWithinPartitions("tile", "rep"), _forests), thin=False)
     merged = stage(reps.join(roots, reps["rep"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"), "copies"), "merged")
+    for old in (family, reps, slim, planned, roots):
+        unstage(old)
     has = found.where("n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2").join(merged, ["h1", "h2"])
     has = has.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies")
     none = found.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
-    return has.unionByName(none)
+    return has.unionByName(none), [found, merged]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -353,7 +387,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Texts are not shuffled: a bitmap tells ids that stay for certain, and only rows of the others are joined.
     """
-    gone = stage(classes(docs).where("doc_id > component_id").select("doc_id").distinct(), "gone")
+    found, read = _classes(docs)
+    gone = stage(found.where("doc_id > component_id").select("doc_id").distinct(), "gone")
+    for old in read:
+        unstage(old)
     shared = docs.sparkSession.sparkContext.broadcast(filter_of(gone, "doc_id"))
 
     def rows(hit: bool):
@@ -365,6 +402,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 found = known & ((shared.value[(k >> 6) & (FILTER_BITS // 64 - 1)] >> (k & 63) & 1) > 0)
                 yield batch.filter(pa.array(found == hit))
 
-        return docs.mapInArrow(run, docs.schema)
+        return narrow(docs).mapInArrow(run, docs.schema)
 
     return rows(False).unionByName(rows(True).join(gone, "doc_id", "left_anti").select(*docs.columns))
