@@ -14,13 +14,16 @@ without a piece become their UTF-8 bytes' pieces at BYTE_PENALTY below the rares
 space is kept as it is, a space mark in the text itself goes by bytes.
 
 Null and empty texts give no pieces and one segmentation with a score of 0; a text with fewer segmentations than n gives
-those it has. Ties go to the path found first, in a fixed order. Repeated rows give equal rows. Columns other than
-doc_id and text are not read. Each row stands alone: nothing is shuffled, memory is bounded by a slice of texts and
-MOST_KEPT units.
+those it has. Log probabilities are multiples of 1 / STEPS, so that sums are exact and ties are ties; they go to the path that
+is nearest its end, then to the one met first, and among units with equal gaps to those that stand first, so that results are the same on every
+run. Repeated rows give equal rows. Columns other than doc_id and text are not read. Each row stands alone: nothing is
+shuffled, memory is bounded by a slice of texts and MOST_KEPT units of at most LONG_UNIT characters; longer units (a
+text without spaces may be one) are worked out whenever they are met, in memory that grows with their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import re
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import text_slices
+from inkspan.llm.common import narrow, text_slices
 
 MARK, OWN_MARK = "▁", "\ud800"
 SHIFT, BYTE_PENALTY = 2.7, 10.0
 #: Segmentations for each text; units whose paths a worker keeps.
-BEST, MOST_KEPT = 4, 250_000
+BEST, MOST_KEPT, LONG_UNIT = 4, 250_000, 64
+STEPS = 1 << 20
 
 
 def unit_pattern(pairs: set[str]) -> str:
@@ -103,28 +107,12 @@ class Model:
         total = np.log(sum(1 / (max(r, 0) + SHIFT) for r in ranks.values()))
         logp = [-np.inf] * len(table)
         for i, r in ranks.items():
-            logp[i] = float(-np.log(max(r, 0) + SHIFT) - total)
+            logp[i] = round(float(-np.log(max(r, 0) + SHIFT) - total) * STEPS) / STEPS
         rare = min(logp[i] for i in ranks) - BYTE_PENALTY
         for i in low:
             logp[i] = float(rare)
         return cls(ids, logp, table, low)
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, what ends there: (start, score, ids)."""
-        n, ids, logp = len(unit), self.ids, self.logp
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = ids.get(unit[i:j])
-                if k is not None:
-                    out[j].append((i, logp[k], (k,)))
-                    single |= j == i + 1
-            if not single:
-                raw = (MARK if unit[i] == OWN_MARK else unit[i]).encode()
-                out[i + 1].append((i, sum(logp[self.byte_ids[b]] for b in raw), tuple(self.byte_ids[b] for b in raw)))
-        return out
-
     def viterbi(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         """Score and ids of the best path, and the gap to the second best (infinite without one)."""
         n, get, longest = len(unit), self.begun.get, self.longest
@@ -171,17 +159,33 @@ class Model:
         ids = [self.byte_ids[b] for b in (MARK if c == OWN_MARK else c).encode()]
         return sum(self.logp[k] for k in ids), ids
 
+    def ending(self, unit: str, j: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """What ends at a place: (start, score, ids)."""
+        out = []
+        for i in range(max(0, j - self.longest), j):
+            k = self.ids.get(unit[i:j])
+            if k is not None:
+                out.append((i, self.logp[k], (k,)))
+            elif i == j - 1:
+                score, ids = self._bytes(unit[i])
+                out.append((i, score, tuple(ids)))
+        return out
+
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best paths in order: A-star from the end, forward Viterbi scores being the rest's exact scores."""
-        edges = self.edges(unit)
+        """The n best paths in order: A-star from the end, forward Viterbi scores being the rest's exact scores.
+
+        What an entry of the agenda promises is the score of a path, and no two entries stand for the same path: what
+        promises less than the n best of them is never followed. Of equal promises that nearest to its end goes on.
+        """
         ahead = [0.0]
         for j in range(1, len(unit) + 1):
-            ahead.append(max(ahead[i] + s for i, s, _ in edges[j]))
-        order = count()
-        agenda: list[tuple[float, int, int, float, tuple]] = [(-ahead[-1], next(order), len(unit), 0.0, ())]
+            ahead.append(max(ahead[i] + s for i, s, _ in self.ending(unit, j)))
+        whole, order = ahead[-1], count()
+        agenda: list[tuple[float, int, int, float, tuple]] = [(0.0, len(unit), next(order), 0.0, ())]
+        least = [0.0]
         out: list[tuple[float, tuple[int, ...]]] = []
         while agenda and len(out) < n:
-            _, _, j, done, path = heapq.heappop(agenda)
+            loss, j, _, done, path = heapq.heappop(agenda)
             if not j:
                 ids: list[int] = []
                 while path:
@@ -189,8 +193,13 @@ class Model:
                     path = path[1]
                 out.append((done, tuple(ids)))
                 continue
-            for i, s, ids in edges[j]:
-                heapq.heappush(agenda, (-(ahead[i] + s + done), next(order), i, s + done, (ids, path)))
+            least.remove(loss)
+            for i, s, ids in self.ending(unit, j):
+                now = whole - ahead[i] - s - done
+                if len(least) < n or now < least[-1]:
+                    bisect.insort(least, now)
+                    del least[n:]
+                    heapq.heappush(agenda, (now, i, next(order), s + done, (ids, path)))
         return out
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
@@ -214,6 +223,8 @@ class Encoder:
 
     def paths(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         more = self.model.more
+        if len(unit) > LONG_UNIT:
+            return self.model.n_best(unit, self.n)
         found = more.get((unit, self.n))
         if found is None:
             if len(more) >= MOST_KEPT // 8:
@@ -224,6 +235,8 @@ class Encoder:
     def path(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         """Paths of units met lately are kept in two generations, so that common units outlive rare ones."""
         known, older = self.model.known, self.model.older
+        if len(unit) > LONG_UNIT:
+            return self.model.viterbi(unit)
         found = known.get(unit)
         if found is None:
             found = older.pop(unit, None) or self.model.viterbi(unit)
@@ -256,9 +269,10 @@ class Encoder:
 
     def _several(self, units: list[str], gap: np.ndarray, best: float) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         most = self.n - 1
-        near = np.arange(len(gap)) if len(gap) <= most else np.argpartition(gap, most - 1)[:most] if most else np.zeros(0, np.int64)
+        near = np.flatnonzero(gap <= np.partition(gap, most - 1)[most - 1]) if 0 < most < len(gap) else np.arange(len(gap) if most else 0)
+        near = near[np.argsort(gap[near], kind="stable")[:most]]
         found: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
-        for p in sorted(near[np.isfinite(gap[near])].tolist(), key=lambda p: (gap[p], p)):
+        for p in near[np.isfinite(gap[near])].tolist():
             ways = self.paths(units[p])
             tried = [(loss + ways[0][0] - s, {**swaps, p: ids} if w else swaps) for loss, swaps in found for w, (s, ids) in enumerate(ways)]
             found = sorted(tried, key=lambda x: x[0])[: self.n]
@@ -282,7 +296,7 @@ def encode(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
                 every.append([best.tolist(), *(encoder.ids_of(units, swaps) for _, swaps in several[1:])])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(every, pa.list_(pa.list_(pa.int32())))], ["doc_id", "ids", "scores", "n_best"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, n_best array<array<int>>")
+    return narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, n_best array<array<int>>")
 
 
 def encode_best(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
@@ -295,7 +309,7 @@ def encode_best(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
             found = [(best, [s for s, _ in several]) for best, several, _ in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64()))], ["doc_id", "ids", "scores"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>")
+    return narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, scores array<double>")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -307,7 +321,7 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
             texts = [shared.value.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return narrow(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
@@ -322,4 +336,4 @@ def digests(docs: DataFrame, model: Model, n: int = BEST) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], ["doc_id", "n_pieces", "ids_sha256", "scores", "round_trip"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, scores array<double>, round_trip boolean")
+    return narrow(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, scores array<double>, round_trip boolean")
