@@ -4,7 +4,8 @@ Labelled outcomes of pages (good or not) are counted by host. Each host's rate o
 its registered domain, which is shrunk towards that of its suffix, which is shrunk towards the rate of all pages: at
 every level a beta prior has the parent's posterior mean and a strength found by matching moments over the level. A
 page is blocked when the upper bound of its host's posterior lies under ``FLOOR``. Hosts without outcomes take the
-posterior of the nearest ancestor that has some. Explicit rules come first: the longest that fits a url decides.
+posterior of the nearest ancestor that has some. Explicit rules come first: the longest that fits a url decides. They are
+a literal map in the plan, so more than ``MOST_RULES`` of them are an error.
 
 Outcomes are pre-aggregated before anything is joined. Reputation tables are staged, so that Spark knows their size: it
 broadcasts those under its own threshold, and else deals both sides by key and splits a hot one (adaptive skew join).
@@ -29,6 +30,7 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 FLOOR, Z, STRENGTH = 0.5, 1.645, (2.0, 1000.0)
 #: Suffixes of two labels below which domains are registered.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: Most explicit rules.
 MOST_RULES = 1000
 
 
