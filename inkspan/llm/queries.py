@@ -14,12 +14,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Where the public tokenizers' files are, unless spark.inkspan.tokenizers says otherwise; operators take any vocabulary or model.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get('spark.inkspan.tokenizers', TOKENIZERS)}/{name}"
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_pack_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(_read(spark, sf_dir, "documents"))
+    return packing.digests(_read(spark, sf_dir, "documents"), vocabulary=packing.ranked(tokenizer(spark, "byte_bpe_50k.tiktoken")))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +68,8 @@ def op9_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"target": F.round("target", 3), "position": F.round("position", 9)})
 
 
-#: A public SentencePiece model; any other can be given to the operator.
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-
-
 def op10_sentencepiece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(_read(spark, sf_dir, "documents"), pieces.Model.load(PIECE_MODEL))
+    return pieces.digests(_read(spark, sf_dir, "documents"), pieces.Model.load(tokenizer(spark, "piece_bpe_32k.model")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
