@@ -115,6 +115,30 @@ def test_embedding_join_is_exact(spark, monkeypatch, strip):
     assert embedding_join.classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("strip", "kind"), [(8192, "float"), (8, "double")])
+def test_embedding_join_of_several_lengths_and_repeated_ids(spark, monkeypatch, strip, kind):
+    monkeypatch.setattr(embedding_join, "STRIP", strip)
+    r = np.random.default_rng(9)
+    rows, k = [], 0
+    for size, n in ((2, 30), (3, 12), (5, 4), (16, 40)):
+        base = r.normal(size=(max(1, n // 5), size))
+        for j in range(n):
+            rows.append((k % 70, [float(v) for v in np.float32(base[j % len(base)] + 0.1 * r.normal(size=size))]))
+            k += 1
+    rows += [(900, [1.0, 0.0]), (901, [0.9, math.sqrt(1 - 0.81)]), (902, [1.0, 0.0, 0.0])]
+    kept = [np.array(v, np.float32 if kind == "float" else float).astype(float) for _, v in rows]
+    hit = lambda a, b: len(kept[a]) == len(kept[b]) and kept[a] @ kept[b] / (np.sqrt((kept[a] ** 2).sum()) * np.sqrt((kept[b] ** 2).sum())) >= 0.9
+    want = []
+    root = brute_components(range(len(rows)), hit)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[root[n]] = min(i, least.get(root[n], i))
+    for n, (i, _) in enumerate(rows):
+        want.append((i, sum(hit(n, m) for m in range(len(rows)) if m != n), least[root[n]]))
+    found = embedding_join.classes(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    assert sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in found) == sorted(want)
+
+
 def test_curriculum_against_plain_python(spark):
     r = random.Random(1)
     rows = [(i, " ".join(["w"] * r.randrange(0, 40)) or None) for i in range(300)]
@@ -215,11 +239,11 @@ def test_best_fit_takes_the_tightest_row():
         assert sorted(64 - sum(sizes[k] for k in b) for b in found) == sorted(rooms)
 
 
-MODEL = pieces.Model.load(Q.PIECE_MODEL)
+MODEL = pieces.Model.load(f"{Q.TOKENIZERS}/piece_bpe_32k.model")
 
 
 def all_paths(unit):
-    edges, out = MODEL.edges(unit), []
+    edges, out = [[], *(MODEL.ending(unit, j) for j in range(1, len(unit) + 1))], []
 
     def walk(j, score, ids):
         if not j:
@@ -362,3 +386,224 @@ def test_pipeline_equals_its_stages(spark):
     found = pipeline.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in found) == mixed == Counter(r["doc_id"] for r in final.collect())
     assert all(MODEL.decode(r["ids"]) == texts[r["doc_id"]] for r in found)
+
+
+def test_packing_with_a_public_vocabulary_is_lossless(spark):
+    import tiktoken
+
+    vocabulary = packing.ranked(f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    back: dict = {}
+    rows = [(i, t) for i, t in ODD if i not in (None, 8)]
+    for r in packing.packed(docs_of(spark, rows), row=128, vocabulary=vocabulary).collect():
+        ids, ends = np.frombuffer(r["ids"], "<u2"), r["lengths"]
+        assert (ids[ends[-1] :] == vocabulary.pad).all()
+        for a, b, doc, part in zip(ends[:-1], ends[1:], r["doc_ids"], r["parts"], strict=True):
+            back[doc, part] = ids[a:b].tolist()
+    import base64
+
+    import public_tokenizers as public
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{Q.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, t in rows:
+        ids = [x for k in sorted(k for d, k in back if d == i) for x in back[i, k]]
+        assert ids[-1] == vocabulary.end and own.decode(ids[:-1]) == (t or "") and ids[:-1] == own.encode_ordinary(t or "")
+
+
+def test_ids_are_checked_and_may_be_wide(spark):
+    wide = packing.Vocabulary(lambda t: [70_000 + ord(c) for c in t], 1, 2, 32)
+    docs = docs_of(spark, [(0, "abc"), (1, None)])
+    rows = packing.packed(docs, row=16, vocabulary=wide).collect()
+    ids = np.concatenate([np.frombuffer(r["ids"], "<u4")[: r["n_tokens"]] for r in rows]).tolist()
+    assert sorted(ids) == sorted([70_097, 70_098, 70_099, 1, 1]) and all(len(r["positions"]) == 64 for r in rows)
+    assert packing.Vocabulary(lambda t: np.array([5, 6], np.int64)).ids("x").tolist() == [5, 6, packing.END]
+    for wrong in ([65_536], [-1], [0.5], [[1]]):
+        with pytest.raises(ValueError):
+            packing.Vocabulary(lambda t, x=wrong: x).ids("x")
+
+
+def paths_of(token, lm):
+    """Every path of a token's lattice, the letters of the best ones."""
+    before, masks, options = "", 0, []
+    for c in token:
+        masks += c == "*"
+        options.append(toxicity.steps_of(c, before, masks))
+        before = c
+    found = []
+    for path in itertools.product(*options):
+        a = b = 0
+        value, out = 0.0, ""
+        for k, cost in path:
+            value += cost
+            if k >= 0:
+                value += lm[a, b, k]
+                a, b = b, k
+                out += toxicity.LETTERS[k - 1] if k else " "
+        found.append((value + lm[a, b, 0], out))
+    most = max(found)[0]
+    return {out for value, out in found if value >= most - 1e-9}
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    r = random.Random(12)
+    words = ["idiot", "stupid", "moron", "loser", "trash", "scum", "clown", "the", "river", "of", "a"]
+    lm = toxicity.model_of(toxicity.trigram_counts(pa.array([" ".join(r.choice(words) for _ in range(4000))])).astype(float))
+    tokens = ["".join(r.choice("aestid10*.! ") for _ in range(r.randrange(1, 6))) for _ in range(120)]
+    for token in [*tokens, "a s t u", "l 0 s e r", "t*a*h", "s**m"]:
+        if token.count("*") <= 2:
+            assert toxicity.decode(token, lm) in paths_of(token, lm), token
+
+
+def test_spaces_put_into_words_are_found(spark):
+    r = random.Random(3)
+    plain = ["such", "man", "the", "river", "was", "very", "old", "and", "he", "a", "an", "in", "it"]
+    lm = toxicity.model_of(toxicity.trigram_counts(pa.array([" ".join(r.choice([*plain, "stupid", "idiot", "scum"]) for _ in range(6000))])).astype(float))
+    assert toxicity.respelled("astupid", lm) == ["a", "stupid"] and toxicity.respelled("idiotscum", lm) == ["idiot", "scum"]
+    docs = docs_of(spark, [(0, "such a s t u p i d man"), (1, "i d i o t s c u m"), (2, "the stu pid river"), (3, "the old river")])
+    assert {x["doc_id"]: x["text"] for x in toxicity.restored(docs, {"lm": lm}).collect()} == {0: "such a stupid man", 1: "idiot scum", 2: "the stupid river", 3: "the old river"}
+
+
+@pytest.mark.parametrize("token", ["Chapter" + "." * 100_000 + "x", "a" + "*" * 100_000 + "b", "a1" * 50_000, "=" * 100_000 + "x", "-a" * 50_000, "a*" * 50_000, "#$" * 50_000, "a" * 100_000])
+def test_long_tokens_take_linear_time(token):
+    import time
+
+    lm = toxicity.model_of(toxicity.trigram_counts(pa.array(["idiot stupid moron " * 50])).astype(float))
+    began = time.process_time()
+    toxicity.restore(token, lm)
+    long = time.process_time() - began
+    began = time.process_time()
+    toxicity.restore(token[: len(token) // 10], lm)
+    assert long < 5 and long < 40 * (time.process_time() - began) + 1
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(few)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (400, 400)]
+    ids = sorted({x for e in edges for x in e})
+    linked = {frozenset(e) for e in edges}
+    want = brute_components(ids, lambda a, b: frozenset((a, b)) in linked)
+    found = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {a: b for a, b in want.items() if a != b}
+
+
+@pytest.mark.parametrize(("bits", "keys"), [(1 << 10, 7), (1 << 27, 500_000)])
+def test_ngram_join_with_saturated_bits(spark, monkeypatch, bits, keys):
+    """With few bits nearly all shingles count as shared: more work, the same classes."""
+    monkeypatch.setattr(ngram_join, "SHARED_BITS", bits)
+    monkeypatch.setattr(ngram_join, "_SHIFT", np.uint64(64 - bits.bit_length() + 1))
+    monkeypatch.setattr(ngram_join, "KEYS", keys)
+    texts = family_texts(31)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want = brute_components(list(texts), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert {x["doc_id"]: x["component_id"] for x in ngram_join.classes(docs_of(spark, list(texts.items()))).collect()} == want
+
+
+def test_ngram_join_keeps_links_when_a_copy_has_no_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    found = {x["doc_id"]: x["component_id"] for x in ngram_join.classes(docs_of(spark, [(None, " ".join(base)), (4, " ".join(base)), (2, near)]).coalesce(1)).collect()}
+    assert found == {None: None, 4: 2, 2: 2}
+
+
+def test_n_best_of_long_units_and_ties():
+    for unit in ("a" * 3000, "ab" * 2000, "=" * 3000):
+        (best, several, units), *_ = pieces.Encoder(MODEL, 4).encode([unit])
+        encoder = pieces.Encoder(MODEL, 4)
+        every = [encoder.ids_of(units, swaps) for _, swaps in several]
+        assert all(MODEL.decode(x) == unit for x in every) and len({tuple(x) for x in every}) == len(every)
+        scores = [s for s, _ in several]
+        assert scores == sorted(scores, reverse=True) and scores[0] == pytest.approx(sum(MODEL.logp[k] for k in best))
+    for unit in ("▁aaaaaa", "aaaa", "thethe"):
+        assert [s for s, _ in MODEL.n_best(unit, 6)] == pytest.approx([s for s, _ in all_paths(unit)[:6]])
+
+
+def test_transport_stream_by_an_independent_walk():
+    """Packets are walked by the published layout alone: sync bytes, PAT to PMT to the stream's PID, counters, payloads."""
+    payload = transport.pad(random.Random(5).randbytes(40_000))
+    media = transport.mux(payload)
+    assert len(media) % 188 == 0
+    tables, counters, pieces_of, program, stream = {}, {}, bytearray(), None, None
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47
+        pid, start, control, counter = (p[1] & 0x1F) << 8 | p[2], p[1] >> 6 & 1, p[3] >> 4 & 3, p[3] & 15
+        body = p[4:] if control == 1 else p[5 + p[4] :] if control == 3 else b""
+        if pid == 0x1FFF:
+            continue
+        if control & 1:
+            assert pid not in counters or counter == (counters[pid] + 1) & 15
+            counters[pid] = counter
+        if pid == 0 and start:
+            s = body[1 + body[0] :]
+            program = (s[10] & 0x1F) << 8 | s[11]
+        elif pid == program and start:
+            s = body[1 + body[0] :]
+            info = (s[10] & 15) << 8 | s[11]
+            stream = (s[13 + info] & 0x1F) << 8 | s[14 + info]
+        elif pid == stream:
+            if start:
+                assert body[:3] == b"\0\0\1"
+                body = body[9 + body[8] :]
+            pieces_of += body
+        tables[pid] = tables.get(pid, 0) + 1
+    assert program is not None and stream is not None and bytes(pieces_of) == payload
+
+
+def test_quality_vectors_pooling_and_temperature_against_plain_loops(spark):
+    texts = ["the the cat, sat 12 Times", "", "A b c A b c !!!", "the cat"]
+    places, signs = quality.index_vectors()
+    total = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        _, codes = quality.sequence(pa.array([t]))
+        for i, a in enumerate(codes):
+            for j, b in enumerate(codes):
+                if i != j and abs(i - j) <= quality.WINDOW:
+                    for k in range(quality.NONZERO):
+                        total[a, places[b, k]] += signs[b, k]
+    want = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    vectors = quality.word_vectors(docs_of(spark, list(enumerate(texts))))
+    assert np.allclose(vectors, want, atol=1e-6)
+    found = quality.pooled(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), vectors)
+    for t, row in zip(texts, found, strict=True):
+        _, codes = quality.sequence(pa.array([t]))
+        mean = lambda x, codes=codes: np.mean([x[c] for c in codes], 0) if len(codes) else np.zeros(quality.DIM)
+        assert np.allclose(row, np.concatenate((mean(vectors), mean(vectors * vectors))), atol=1e-5)
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 6))
+    y = (x[:, 0] + 0.5 * r.normal(size=600) > 0).astype(float)
+    net = quality.Network(x, y)
+    logits = net.logits(x)
+    loss = lambda s: np.mean(np.logaddexp(0, np.where(y > 0, -logits, logits) / s))
+    assert ((net.probability(x) >= 0.5) == (y > 0)).mean() > 0.8 and loss(net.temperature) <= loss(1.0) + 0.02
+
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables_and_odd_rows_in_every_operator(spark, tmp_path):
+    none, labels = spark.createDataFrame([], EMPTY), spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0 and toxicity.keep_clean(none, labels).count() == 0
+    assert quality.score(none, quality.fit(none, labels)).count() == 0 and quality.keep_good(none, labels).count() == 0
+    assert transport.media_digests(none).count() == 0 and pieces.digests(none, MODEL).count() == 0 and pieces.encode_best(none, MODEL).count() == 0
+    assert licenses.scan(none.selectExpr("source as path", "text")).count() == 0
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "url string, good int")).count() == 0
+    odd = docs_of(spark, ODD)
+    assert transport.media_digests(odd).count() == len(ODD) and pieces.encode_best(odd, MODEL).count() == len(ODD)
+    urls = [(1, "http://a.net/x"), (1, "http://a.net/x"), (2, "http://" + "b" * 50_000 + ".org/" + "y" * 50_000), (None, None)]
+    judged = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([("http://a.net/1", 1)], "url string, good int")).collect()
+    assert len(judged) == 4 and all(x["verdict"] in ("allow", "block") for x in judged)
+    same = [("a/LICENSE", "Released under the MIT License."), ("a/LICENSE", "Released under the MIT License."), ("a/COPYING", "Licensed under the Apache License, Version 2.0."), ("a/x", "word " * 100_000)]
+    once, again = ([tuple(x) for x in sorted(licenses.scan(spark.createDataFrame(same, "path string, text string")).collect(), key=str)] for _ in range(2))
+    assert once == again and len(once) == 4
+
+
+def test_pipeline_with_odd_rows_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    labels = [(k, 1, int(k % 2)) for k in range(0, 10)] + [(None, None, None)]
+    for name, rows in (("odd", ODD), ("none", [])):
+        docs_of(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(x["doc_id"] is None or x["doc_id"] in range(10) for x in found) and (rows or not found)
