@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspan.llm import curriculum, ngram_join, pieces, quality, toxicity
 from inkspan.llm.common import stage
-from inkspan.llm.queries import PIECE_MODEL
+from inkspan.llm.queries import tokenizer
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_best(docs, pieces.Model.load(PIECE_MODEL))
+    return pieces.encode_best(docs, pieces.Model.load(tokenizer(spark, "piece_bpe_32k.model")))
 
 
 STAGES = [
