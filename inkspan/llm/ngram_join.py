@@ -3,10 +3,12 @@
 The result is exact. Steps:
 
 1. Shingles become 64-bit hashes; a document is the sorted array of its distinct ones. All shingles of the corpus, as
-   packed runs of hashes dealt by value, show which stand in two documents or more: ``SHARED_BITS`` bits, whatever the
-   corpus, say "in one only" or "perhaps shared". A false "perhaps" costs time and nothing else.
-2. In one order of all shingles (those in one document first, else by hash), two sets with a similarity of 0.8 share a
-   member among the first fifth of each. A shingle of one document can't be it, so documents with a fifth of their own
+   packed runs of hashes (32 bits within a range) dealt by value, show which stand in two documents or more:
+   ``SHARED_BITS`` places of two bits, whatever the corpus, say "in one only" or "perhaps shared" by few, by more or by
+   many (``LEVELS``). A false answer costs time and nothing else.
+2. In one order of all shingles (those in one document first, then by these classes, then by hash), two sets with a
+   similarity of 0.8 share a member among the first fifth of each. What many documents share stands last, so that
+   passages that are common but make up little of a text don't chain unrelated groups of copies to one family. A shingle of one document can't be it, so documents with a fifth of their own
    drop out; the others give the shared members of their first fifth as keys. Documents that share a key are chained to
    the key's first: at once within a block of ``KEYS`` rows, so that a key of very many documents is shuffled once for
    each block and not for each document, then over all. Components of these chains are families outside which no link
@@ -44,8 +46,10 @@ from inkspan.llm.components import components, solve, thinned
 WORDS = 5
 #: Links need NUMERATOR * overlap >= DENOMINATOR-th of the union: 100 * overlap >= 80 * union.
 PERCENT = 80
-#: Shingles of a block that is sorted at once; bits that tell shared shingles; shingles that one task compares.
+#: Shingles of a block that is sorted at once; places that tell shared shingles; shingles that one task compares.
 BLOCK, SHARED_BITS, RANGE = 1_500_000, 1 << 27, 2_000_000
+#: Least numbers of sets of a shingle for the classes 1 to 3; class 0 is in one set only.
+LEVELS = (2, 8, 64)
 #: Rows of keys that a worker reduces at once.
 KEYS = 500_000
 _SHIFT = np.uint64(64 - SHARED_BITS.bit_length() + 1)
@@ -99,23 +103,37 @@ def keys_of(members: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """The first of a set in the order of all shingles, as many as any partner must share one of; less those of its own."""
     n = len(members)
     at = (members >> _SHIFT).astype(np.int64)
-    both = members[(shared[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-    return both[: max(0, n - -(-PERCENT * n // 100) + 1 - (n - len(both)))]
+    level = shared[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3
+    both = level > 0
+    wanted = n - -(-PERCENT * n // 100) + 1 - (n - int(both.sum()))
+    return members[both][np.argsort(level[both], kind="stable")[:wanted]] if wanted > 0 else members[:0]
 
 
 def shared_shingles(docs: DataFrame) -> np.ndarray:
-    """SHARED_BITS bits: which shingles may stand in two sets; as bytes, collected by segments that don't overlap."""
+    """SHARED_BITS places of two bits: the class of the shingles there; as bytes, collected by segments that don't overlap.
+
+    What is dealt are 32 bits of a shingle within its range. Shingles that agree in them count as one, which makes them
+    "perhaps shared": with RANGE shingles to a range that befalls fewer than one in a thousand.
+    """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(1, min(1 << 16, -(-size // 6 // RANGE)))
     width = -(-SHARED_BITS // ranges // 8) * 8
     ranges = -(-SHARED_BITS // width)
     borders = np.arange(1, ranges, dtype=np.uint64) * np.uint64(width) << _SHIFT
+    dropped = max(0, int(_SHIFT) + (width - 1).bit_length() - 32)
+    place = np.uint64(int(_SHIFT) - dropped)
+    levels = np.array(LEVELS)
 
     def flush(block: list[np.ndarray]) -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(block), return_counts=True)
-        once, more = found[counts == 1], found[counts > 1]
-        cut = lambda x: [r.tobytes() for r in np.split(x, np.searchsorted(x, borders))]
-        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array(cut(once), pa.binary()), pa.array(cut(more), pa.binary())], ["range", "once", "more"])
+        counts = np.minimum(counts, 255).astype(np.uint8)
+        out: tuple[list, list, list] = [], [], []
+        ends = [0, *np.searchsorted(found, borders).tolist(), len(found)]
+        for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            near, n = ((found[i:j] - (np.uint64(k * width) << _SHIFT)) >> np.uint64(dropped)).astype(np.uint32), counts[i:j]
+            for column, x in zip(out, (near[n == 1], near[n > 1], n[n > 1]), strict=True):
+                column.append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["range", "once", "more", "counts"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[int, np.ndarray] = {}
@@ -132,41 +150,46 @@ def shared_shingles(docs: DataFrame) -> np.ndarray:
             yield flush(list(block.values()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by range; held are the hashes of one, repeats being thrown out whenever what is held has doubled."""
-
-        def settle(once: list[np.ndarray], more: list[np.ndarray]) -> None:
-            found, counts = np.unique(np.concatenate(once), return_counts=True)
-            more[:] = [np.unique(np.concatenate([*more, found[counts > 1]]))]
-            once[:] = [found]
-
-        def done(number: int, once: list[np.ndarray], more: list[np.ndarray]) -> pa.RecordBatch:
-            # A hash that is in "more" of one block and "once" of another is shared already.
-            settle(once, more)
-            bits = np.zeros(width, bool)
-            bits[(more[0] >> _SHIFT).astype(np.int64) - number * width] = True
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
-
-        number, once, more, held, settled = None, [], [], 0, RANGE
+        """Rows come sorted by range; held are the hashes of one with their counts (low byte), added up whenever what is held has doubled."""
+
+        def settle(held: list[np.ndarray]) -> None:
+            every = np.sort(np.concatenate(held))
+            new = np.flatnonzero(np.concatenate(([True], every[1:] >> np.uint64(8) != every[:-1] >> np.uint64(8)))[: len(every)])
+            counts = np.add.reduceat(every & np.uint64(255), new) if len(new) else every
+            held[:] = [every[new] & ~np.uint64(255) | np.minimum(counts, np.uint64(255))]
+
+        def done(number: int, held: list[np.ndarray]) -> pa.RecordBatch:
+            settle(held)
+            level = np.searchsorted(levels, (held[0] & np.uint64(255)).astype(np.int64), side="right")
+            at = (held[0] >> np.uint64(8) >> place).astype(np.int64)
+            found = np.zeros(width, np.uint8)
+            for k in range(1, len(levels) + 1):
+                found[at[level == k]] = k  # of several shingles at one place the commonest counts
+            found = found.reshape(-1, 4)
+            packed = found[:, 0] | found[:, 1] << 2 | found[:, 2] << 4 | found[:, 3] << 6
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed.tobytes()], pa.binary())], ["range", "bits"])
+
+        number, held, size, settled = None, [], 0, RANGE
         for batch in batches:
-            for r, a, b in zip(*(batch.column(c) for c in ("range", "once", "more")), strict=True):
+            for r, a, b, n in zip(*(batch.column(c) for c in ("range", "once", "more", "counts")), strict=True):
                 if r.as_py() != number:
                     if number is not None:
-                        yield done(number, once, more)
-                    number, once, more, held, settled = r.as_py(), [], [], 0, RANGE
-                once.append(np.frombuffer(a.as_buffer(), np.uint64))
-                more.append(np.frombuffer(b.as_buffer(), np.uint64))
-                held += len(once[-1]) + len(more[-1])
-                if held > 2 * settled:
-                    settle(once, more)
-                    held = settled = len(once[0]) + len(more[0])
+                        yield done(number, held)
+                    number, held, size, settled = r.as_py(), [], 0, RANGE
+                once, more = (np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) << np.uint64(8) for x in (a, b))
+                held += [once | np.uint64(1), more | np.frombuffer(n.as_buffer(), np.uint8)]
+                size += len(once) + len(more)
+                if size > 2 * settled:
+                    settle(held)
+                    size = settled = len(held[0])
         if number is not None:
-            yield done(number, once, more)
+            yield done(number, held)
 
-    rows = narrow(docs).select("text").mapInArrow(runs, "range int, once binary, more binary").repartition(ranges, "range").sortWithinPartitions("range")
-    out = np.zeros(ranges * width // 8, np.uint8)
+    rows = narrow(docs).select("text").mapInArrow(runs, "range int, once binary, more binary, counts binary").repartition(ranges, "range").sortWithinPartitions("range")
+    out = np.zeros(ranges * width // 4, np.uint8)
     for batch in rows.mapInArrow(compare, "range int, bits binary").toArrow().to_batches():
         for number, bits in zip(batch.column("range").to_pylist(), batch.column("bits"), strict=True):
-            out[number * width // 8 : (number + 1) * width // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+            out[number * width // 4 : (number + 1) * width // 4] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
