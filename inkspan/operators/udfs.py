@@ -16,6 +16,8 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -25,6 +27,8 @@ STOP = re.compile(r"(?<=[.!?])\s+")
 CASUAL = re.compile(r"\b(honestly|look,|here'?s the thing|basically|you know|frankly|truth be told)\b", re.IGNORECASE)
 #: First characters that near-duplicates are compared by (a fixed rule of the operator), their least likeness, length band.
 SHOWN, LIKENESS, BAND = 500, 0.9, 0.05
+#: Documents whose words are counted at once.
+ROWS = 256
 #: Minima of hashed word pairs that near-duplicates are looked for by.
 MINIMA = 8
 #: What is left out of an article, and of a page without one, by tag, role, class or part of a class.
@@ -287,6 +291,48 @@ def clusters(prompts: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "owner string, cluster int, frequency int, representative string, avg_confidence double, significant boolean")
 
 
+# --- H42: how alike a document's sentences are ---
+def _similarities(sentences: pa.ListArray) -> np.ndarray:
+    """Mean pairwise cosine of each document's sentences (lists of words) under TF-IDF; nan without words or with one sentence."""
+    per_doc = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = sentences.flatten()
+    doc_of = np.repeat(np.arange(len(per_doc)), per_doc)
+    sent_of = np.repeat(np.arange(len(flat)), pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    words = flat.flatten().dictionary_encode()
+    n = per_doc.astype(float)
+    out = np.full(len(n), np.nan)
+    if not len(words):
+        return out
+    kinds = len(words.dictionary)
+    cell, tf = np.unique(sent_of * kinds + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    sent, word = cell // kinds, cell % kinds
+    doc = doc_of[sent]
+    _, term, df = np.unique(doc * kinds + word, return_inverse=True, return_counts=True)
+    weight = tf * (np.log((n[doc] + 1) / (df[term] + 1)) + 1)
+    square = np.bincount(sent, weight * weight, len(flat))
+    total = np.bincount(term, weight / np.sqrt(square[sent]))
+    first = np.zeros(len(total), np.int64)
+    first[term] = doc
+    some = np.bincount(doc_of[square > 0], minlength=len(n))
+    several = (n > 1) & (some > 0)
+    out[several] = (np.bincount(first, total * total, len(n))[several] - some[several]) / (n * (n - 1))[several]
+    return out
+
+
+def similarities(rows: DataFrame) -> DataFrame:
+    """H42 of rows (doc_id, sentences): doc_id, n, sim. Rows stand alone: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), ROWS):
+                part = b.slice(k, ROWS)
+                sentences = part.column("sentences")
+                sim = _similarities(sentences)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.fill_null(pc.list_value_length(sentences), 0).cast(pa.int64()), pa.array(sim, mask=np.isnan(sim))], ["doc_id", "n", "sim"])
+
+    return rows.select("doc_id", "sentences").mapInArrow(run, "doc_id long, n long, sim double")
+
+
 # --- P3: how much of an original's wording a rewrite keeps ---
 TOKEN, GRAM = 70, 80
 _WORDS = re.compile(r"\b\w+\b")

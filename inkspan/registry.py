@@ -93,6 +93,15 @@ def chunked_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_over(spark, sf_dir, corpus.chunk_spread(Spark(), names[1]))
 
 
+def semantic_monotony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H42 within each row: as SQL, every word of the corpus is shuffled several times."""
+    d = Spark()
+    steps = document.needed(document.base(d) | {"sentences": d.map("s5", "z_s", d.extract("lower(z_s)", r"[\p{L}\p{N}_]+"))}, "sentences")
+    rows = sql_over(spark, sf_dir, document.layered(d, steps, "{documents}", "doc_id, case when doc_id is not null then text end as text") + " select cast(doc_id as bigint) as doc_id, case when t0 <> '' then sentences end as sentences from z_end")
+    score = "cast(case when n >= 4 and sim > 0.12 then round((sim - 0.12) / 0.88 * 40) else 0 end as double)"
+    return udfs.similarities(rows).selectExpr("doc_id", "round(case when n >= 4 then sim end, 6) as similarity", f"{score} as score")
+
+
 def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole score with all document signals: those that need a library or other rows are worked out first, by document."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
@@ -105,6 +114,7 @@ def analyze_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
+    "h42_semantic_monotony": semantic_monotony,
     "h06_compression_ratio": _text_score(udfs.compression_udf),
     "h35_hollow_informality": _text_score(udfs.hollow_udf),
     "l02_compression_document": _text_score(udfs.joint_compression_udf),
