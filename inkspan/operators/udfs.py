@@ -335,6 +335,8 @@ def similarities(rows: DataFrame) -> DataFrame:
 
 # --- P3: how much of an original's wording a rewrite keeps ---
 TOKEN, GRAM = 70, 80
+#: Runs of either side that are compared at once, and pairs of them.
+SIDE, AT_ONCE = 2048, 50_000
 _WORDS = re.compile(r"\b\w+\b")
 
 
@@ -351,12 +353,54 @@ def likeness(a: str, b: str) -> float:
     return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b)) if a or b else 100.0
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every character's number, text and place in it."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return chars, np.repeat(np.arange(len(texts)), sizes), np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of characters (folded into 64 places) and lengths."""
-    bags = np.zeros((len(texts), 64), np.int16)
-    for k, t in enumerate(texts):
-        np.add.at(bags[k], [ord(c) & 63 for c in t], 1)
-    return bags, np.array([len(t) for t in texts])
+    chars, rows, _ = _codes(texts)
+    return np.bincount(rows * 64 + (chars & 63), minlength=64 * len(texts)).reshape(-1, 64), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the lesser counts of every two bags: counts are written as so many ones, and multiplied."""
+    most = np.minimum(a.max(0, initial=0), b.max(0, initial=0))
+    place = np.repeat(np.arange(64), most)
+    level = np.arange(len(place)) - np.repeat(np.cumsum(most) - most, most)
+    return (a[:, place] > level).astype(np.float32) @ (b[:, place] > level).astype(np.float32).T
+
+
+def likenesses(texts: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``likeness`` of pairs of texts, by their numbers; all pairs go through a text's characters together, 64 bits to a pair."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    swap = sizes[one] > sizes[two]
+    short, long = np.where(swap, two, one), np.where(swap, one, two)
+    out = np.zeros(len(one))
+    wide = sizes[short] > 64
+    out[wide] = [likeness(texts[i], texts[j]) for i, j in zip(one[wide].tolist(), two[wide].tolist(), strict=True)]
+    at = np.flatnonzero(~wide)
+    at = at[np.argsort(-sizes[long[at]], kind="stable")]
+    chars, rows, places = _codes(texts)
+    known, chars = np.unique(chars, return_inverse=True)
+    where = np.zeros((len(texts), len(known)), np.uint64)
+    fits = places < 64
+    np.bitwise_or.at(where, (rows[fits], chars[fits]), np.uint64(1) << places[fits].astype(np.uint64))
+    starts, short, long = np.cumsum(sizes) - sizes, short[at], long[at]
+    v = np.full(len(at), ~np.uint64(0))
+    ends = np.searchsorted(-sizes[long], -np.arange(sizes[long].max(initial=0)), side="left").tolist()
+    for k, n in enumerate(ends):  # the first n texts have a character k
+        w = v[:n]
+        u = w & where[short[:n], chars[starts[long[:n]] + k]]
+        v[:n] = w + u | w - u
+    size = sizes[short]
+    mask = np.where(size > 63, ~np.uint64(0), (np.uint64(1) << np.minimum(size, 63).astype(np.uint64)) - np.uint64(1))
+    total = sizes[short] + sizes[long]
+    out[at] = np.where(total > 0, 200.0 * (size - np.bitwise_count(v & mask)) / np.maximum(total, 1), 100.0)
+    return out
 
 
 def _kept(mine: Counter, theirs: list[str], least: float, more: bool) -> int:
@@ -364,16 +408,25 @@ def _kept(mine: Counter, theirs: list[str], least: float, more: bool) -> int:
     known = set(theirs)
     kept = sum(n for x, n in mine.items() if x in known)
     rest = [x for x in mine if x not in known]
-    if not rest or not theirs:
-        return kept
-    bags, sizes = _bags(theirs)
-    for x, bag, size in zip(rest, *_bags(rest), strict=True):
-        bound = 200.0 * np.minimum(bags, bag).sum(1) / (sizes + size)
-        for k in np.flatnonzero(bound > least if more else bound >= least).tolist():
-            r = likeness(x, theirs[k])
-            if r > least or not more and r == least:
-                kept += mine[x]
-                break
+    above = np.greater if more else np.greater_equal
+    for start in range(0, len(theirs), SIDE):
+        block = theirs[start : start + SIDE]
+        bags, sizes = _bags(block)
+        left = []
+        for k in range(0, len(rest), SIDE):
+            part = rest[k : k + SIDE]
+            own, size = _bags(part)
+            one, two = np.nonzero(above(200.0 * _common(own, bags).astype(float) / (size[:, None] + sizes), least))
+            hit = np.zeros(len(part), bool)
+            for m in range(0, len(one), AT_ONCE):
+                i, j = one[m : m + AT_ONCE], two[m : m + AT_ONCE]
+                i, j = i[~hit[i]], j[~hit[i]]
+                used, both = np.unique(np.concatenate((i, j + len(part))), return_inverse=True)
+                names = [part[x] if x < len(part) else block[x - len(part)] for x in used.tolist()]
+                hit[i[above(likenesses(names, both[: len(i)], both[len(i) :]), least)]] = True
+            kept += sum(mine[x] for x, h in zip(part, hit.tolist(), strict=True) if h)
+            left += [x for x, h in zip(part, hit.tolist(), strict=True) if not h]
+        rest = left
     return kept
 
 
