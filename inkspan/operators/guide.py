@@ -38,7 +38,7 @@ def lookup(d: Spark, x: str, values: dict[str, str], otherwise: str) -> str:
 
 def fixed(d: Spark, x: str, digits: int) -> str:
     """A number as text with so many digits, halves to even."""
-    return f"cast(cast({d.half_even(f'cast({x} as double)', digits)} as decimal(18, {digits})) as varchar(40))"
+    return f"cast(cast({d.rounded_even(f'cast({x} as double)', digits)} as decimal(18, {digits})) as varchar(40))"
 
 
 def listed(d: Spark, value: str, order: str, by: str) -> str:
