@@ -144,7 +144,7 @@ def elements(d: Spark) -> list[tuple[str, str, str, str, str | None]]:
 def tall(d: Spark, table: str = "{documents}", key: str = "doc_id") -> str:
     """CTEs ending in z_tall: key, element, category, kind, direction, weight, value, rounded to four digits."""
     own = elements(d)
-    r = lambda x: f"round(cast({x} as double), 4)"
+    r = lambda x: d.rounded(f"cast({x} as double)", 4)
     inner = {f"v{k}": f"cast({e[2]} as double)" for k, e in enumerate(own)}
     array = lambda items: ("array(" if d.name == "spark" else "[") + ", ".join(items) + (")" if d.name == "spark" else "]")
     of = lambda e, k: re.sub(r"\bv\b", f"v{k}", e)
@@ -191,7 +191,7 @@ def convergence(d: Spark) -> str:
       z_st as (select *, case when pm is null then 0 when abs(pm) < 0.01 then case when delta < 0.001 then 1 else 0 end else case when delta < 0.02 then 1 else 0 end end as stable from z_d),
       z_i as (select *, sum(1 - stable) over (partition by source, element order by seq rows unbounded preceding) as island from z_st),
       z_run as (select *, sum(stable) over (partition by source, element, island order by seq rows unbounded preceding) as run from z_i)
-      select source, element, cast(max(seq) as bigint) as n, round(max_by(m, seq), 6) as mean, round(case when max(seq) < 2 or max_by(m, seq) < 0.01 then 0 else max_by(sd, seq) / max_by(m, seq) end, 6) as cv,
+      select source, element, cast(max(seq) as bigint) as n, """ + d.rounded("max_by(m, seq)", 6) + """ as mean, """ + d.rounded("case when max(seq) < 2 or max_by(m, seq) < 0.01 then 0 else max_by(sd, seq) / max_by(m, seq) end", 6) + """ as cv,
       cast(max_by(run, seq) as bigint) as consecutive_stable, max_by(run, seq) >= 3 as converged, max(case when run = 3 then words_upto end) as converged_at_words from z_run group by source, element"""
 
 
