@@ -27,6 +27,7 @@ import bisect
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, count
@@ -69,10 +70,9 @@ class Model:
     bytes_of: list[bytes]
     byte_ids: list[int]
     longest: int = field(init=False)
-    #: Every beginning of a piece, with the piece's log probability or 0; the pattern of units; paths that this process
-    #: has found.
-    begun: dict[str, float] = field(init=False)
-    rare: float = field(init=False)
+    #: Pieces by character: the log probability of the piece that ends there or 0, and what goes on from there or None; the pattern
+    #: of units; paths that this process has found.
+    tree: dict[str, tuple[float, dict | None]] = field(init=False)
     units: re.Pattern = field(init=False)
     known: dict = field(default_factory=dict, init=False)
     older: dict = field(default_factory=dict, init=False)
@@ -80,8 +80,16 @@ class Model:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids))
-        self.begun = {p[:k]: 0.0 for p in self.ids for k in range(1, len(p))} | {p: self.logp[k] for p, k in self.ids.items()}
-        self.rare = max(self.logp[k] for k in self.byte_ids)
+        self.tree = {}
+        for p in sorted(self.ids, key=len, reverse=True):  # the longest first: what goes on from a piece is there before it
+            level = self.tree
+            for c in p[:-1]:
+                w, below = level.get(c, (0.0, None))
+                if below is None:
+                    below = {}
+                    level[c] = w, below
+                level = below
+            level[p[-1]] = self.logp[self.ids[p]], level.get(p[-1], (0.0, None))[1]
         self.units = re.compile(unit_pattern({p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}))
 
     @classmethod
@@ -115,33 +123,29 @@ class Model:
 
     def viterbi(self, unit: str) -> tuple[float, tuple[int, ...], float]:
         """Score and ids of the best path, and the gap to the second best (infinite without one)."""
-        n, get, longest = len(unit), self.begun.get, self.longest
+        n, get = len(unit), self.tree.get
         best, second, back = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            one, two, j = best[i], second[i], i
-            end = n if n - i <= longest else i + longest
-            while j < end:
-                j += 1
-                w = get(unit[i:j])
-                if not w and j == i + 1:
-                    w = self._bytes(unit[i])[0]
-                    s = one + w
-                elif w is None:
+            one, two, j = best[i], second[i], i + 1
+            w, below = get(unit[i], (0.0, None))
+            if not w:
+                w = self._bytes(unit[i])[0]
+            while True:
+                if w:
+                    s, b = one + w, best[j]
+                    if s > b:
+                        best[j], back[j] = s, i
+                        second[j] = b if b > two + w else two + w
+                    elif s > second[j]:
+                        second[j] = s
+                if below is None or j == n:
+                    break
+                found = below.get(unit[j])
+                if found is None:
                     break
-                elif not w:
-                    continue
-                else:
-                    s = one + w
-                b = best[j]
-                if s > b:
-                    best[j], back[j] = s, i
-                    second[j] = b if b > two + w else two + w
-                elif s > second[j]:
-                    second[j] = s
-                if w <= self.rare:
-                    if get(unit[i:j]) is None:
-                        break
+                w, below = found
+                j += 1
         ids, get, j = [], self.ids.get, n
         while j:
             i = back[j]
@@ -249,10 +253,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[float, dict[int, tuple[int, ...]]]], list[str]]]:
         """For each text: ids of the best path; the n best as (score, unit's place -> ids where it differs); the units."""
-        index: dict[str, int] = {}
+        index: dict[str, int] = defaultdict(count().__next__)
         split = [units_of(t, self.model.units) for t in texts]
-        at = [np.array([index.setdefault(u, len(index)) for u in units], np.int64) for units in split]
-        paths = [self.path(u) for u in index]
+        at = [np.fromiter(map(index.__getitem__, units), np.int64, len(units)) for units in split]
+        known = self.model.known.get
+        paths = [known(u) or self.path(u) for u in index]
         score = np.array([p[0] for p in paths])
         gap = np.array([p[2] for p in paths])
         sizes = np.array([len(p[1]) for p in paths], np.int64)
