@@ -64,6 +64,14 @@ def base(d: Spark) -> Steps:
         counts = D.word_counts(d, a, n)
         for k, e in counts.items():
             steps[f"{name}_{k}"] = re.sub(r"\b(z_sorted|z_begin|z_types)\b", lambda m, name=name: f"{name}_{m[1]}", e)
+    if d.name == "spark":
+        # Syllables are counted once for each distinct word, not twice for each word; sums of whole numbers are the same.
+        each = d.map("w_z_begin", "z_i", d.at("w_z_sorted", "z_i"))
+        steps["w_syl"] = d.map(each, "z_w", f"greatest(1, {vowels('z_w')} - {silent})")
+        for name, e in (("syl", "z_n * z_k"), ("poly", "case when z_n >= 3 then z_k else 0 end")):
+            steps[name] = d.total(f"zip_with(w_syl, w_c, (z_n, z_k) -> {e})")
+        steps["poly"] = f"cast({steps['poly']} as bigint)"
+        steps |= {k: steps.pop(k) for k in ("syl", "poly")}  # steps stand behind those that they use
     return steps
 
 
